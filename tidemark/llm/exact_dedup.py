@@ -124,7 +124,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = materialize(fingerprints(docs), "fingerprints")
     key = ["fp1", "fp2", "n_bytes"]
     groups = prints.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(prints.join(groups, key, "left"), "groups")
+    groups = materialize(groups, "groups")  # read from a table, the join can split a key of many rows
+    first = materialize(prints.join(groups, key, "left"), "first")
     odd = materialize(collisions(docs, first.where("n > 1 and doc_id is not null").select("doc_id", "keep_id", "n").distinct()).distinct(), "collisions")
     if not odd.isEmpty():  # texts that differ though their fingerprints agree
         variant = F.when(F.col("odd_id").isNotNull(), F.col("sha")).otherwise("")
