@@ -32,7 +32,7 @@ STATES, PASSES, SEGMENT, BATCH = 6, 5, 192, 2048
 FREQUENT, SUFFIXES = 4096, 4096
 END = FREQUENT + SUFFIXES
 CLASSES = END + 1
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 _SUFFIX_BYTES = 3
 #: Pseudo-counts, spread as the classes are, that each state's emissions get, and each transition.
 SMOOTH_EMIT, SMOOTH_MOVE = 500.0, 10.0

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ _LAST = (1 << 63) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIXES = ((np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)))
 _EDGE = np.uint64(0x2545F4914F6CDD1D)
-_BYTES_AT_ONCE = 1 << 22
+_BYTES_AT_ONCE = 1 << 20
 
 
 def _mixed(x: np.ndarray, which: int) -> np.ndarray:
@@ -156,6 +157,12 @@ def _unpack(column: pa.Array) -> list[bytes]:
     return [expand.decompress(t) for t in column.to_pylist()]
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of integer lists in a row, and where each list begins and ends."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([0, *sizes])
+
+
 def seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """anchor, around, d, h, at: each document's first anchors of each kind (gram hash and hash of its surroundings). docs: d, h, text (binary)."""
     reach = length - gram
@@ -190,18 +197,20 @@ def repeats(packed: DataFrame, plain: DataFrame, length: int = LENGTH, gram: int
     groups = materialize(groups.select("anchor", (F.col("low") == F.col("high")).alias("whole"), "first"), "anchors")
     marks = found.join(groups, "anchor").where(~F.col("whole") | (place != F.col("first"))).select("d", "h", "at", "whole")
     marks = materialize(marks, "marks")
-    work = packed.join(marks.groupBy("d", "h").agg(F.collect_list(F.struct("at", "whole")).alias("marks")), ["d", "h"])
+    code = 2 * F.col("at") + F.col("whole").cast("int")
+    work = packed.join(marks.groupBy("d", "h").agg(F.collect_list(code).alias("marks")), ["d", "h"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher = Hasher()
         for batch in batches:
-            d, h, texts, marked = batch.column("d").to_numpy(), batch.column("h").to_numpy(), _unpack(batch.column("text")), batch.column("marks").to_pylist()
+            d, h, texts = batch.column("d").to_numpy(), batch.column("h").to_numpy(), _unpack(batch.column("text"))
+            marked, limits = _lists(batch.column("marks"))
             for a, b in _chunks(texts):
                 words = Words(texts[a:b], hasher)
                 windows, chosen, _ = anchors(words, length, gram)
                 state = np.zeros(len(words.doc) + 1, np.int8)  # of each word's anchor: 1 to compare, 2 repeated whatever the window
-                kinds = np.array([(words.first[i] + m["at"], 2 if m["whole"] else 1) for i, ms in enumerate(marked[a:b]) for m in ms], np.int64).reshape(-1, 2)
-                state[kinds[:, 0]] = kinds[:, 1]
+                codes = marked[limits[a] : limits[b]]
+                state[np.repeat(words.first[: b - a], np.diff(limits[a : b + 1])) + codes // 2] = 1 + codes % 2
                 kind = state[chosen]
                 for value, whole in ((2, True), (1, False)):
                     at = windows[kind == value]
@@ -242,16 +251,17 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher = Hasher()
         for batch in batches:
-            d, texts, given = batch.column("d"), _unpack(batch.column("text")), batch.column("windows")
+            d, texts = batch.column("d"), _unpack(batch.column("text"))
+            given, limits = _lists(batch.column("windows"))
             for a, b in _chunks(texts):
                 words = Words(texts[a:b], hasher)
                 windows = words.windows(length)
                 one = words.sequences(windows, windows + length, 0)
                 two = words.sequences(windows, windows + length, 1)
                 doc = words.doc[windows]
-                part = given.slice(a, b - a)
-                starts = [np.asarray(x, np.int64) + words.first[i] for i, x in enumerate(part.to_pylist()) if x]
-                elsewhere = np.isin(windows, np.concatenate(starts)) if starts else np.zeros(len(windows), bool)
+                repeated = np.zeros(len(words.doc) + 1, bool)
+                repeated[np.repeat(words.first[: b - a], np.diff(limits[a : b + 1])) + given[limits[a] : limits[b]]] = True
+                elsewhere = repeated[windows]
                 key = _mixed(one ^ (two << np.uint64(1)), 0) ^ doc.astype(np.uint64)
                 _, first, same = np.unique(key, return_index=True, return_inverse=True)
                 gone = elsewhere[first][same] | (first[same] != np.arange(len(windows)))  # equal windows of a document share their fate
