@@ -64,17 +64,16 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rounds: int = 100, ridge
     if not len(labels) or toxic.all() or not toxic.any():
         share = toxic.mean() if len(labels) else 0.0
         return weights, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    flat, lengths = np.concatenate(features), np.array([len(x) for x in features])
-    owner = np.repeat(np.arange(len(features)), lengths)
-    positive = np.bincount(flat[toxic[owner]], minlength=size)
-    negative = np.bincount(flat[~toxic[owner]], minlength=size)
+    positive, negative = np.zeros(size), np.zeros(size)
+    for found, is_toxic in zip(features, toxic, strict=True):  # features of a text are distinct
+        (positive if is_toxic else negative)[found] += 1
     ratio = np.log((positive + 1) / (toxic.sum() + 2)) - np.log((negative + 1) / ((~toxic).sum() + 2))
     ratio[(positive + negative < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     live = np.flatnonzero(ratio)
     place = np.full(size, -1, np.int32)
     place[live] = np.arange(len(live))
-    at = place[flat]
-    owner, at = owner[at >= 0], at[at >= 0]
+    used = [(x := place[found])[x >= 0] for found in features]
+    owner, at = np.repeat(np.arange(len(used)), [len(x) for x in used]), np.concatenate(used)
     scale, n = ratio[live], len(labels)
     balance = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     coefficients, momentum = np.zeros(len(live) + 1), np.zeros(len(live) + 1)
