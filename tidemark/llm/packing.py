@@ -13,7 +13,6 @@ id is carried along; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,39 +26,32 @@ from tidemark.llm.common import arrow_map, materialize
 
 CAPACITY, END = 1024, 2
 BUCKET_ROWS = 50_000
-_CACHED = 150_000
 
 
-class CachedTokenizer:
-    """Token ids as little-endian unsigned 32-bit bytes.
+class ByteTokenizer:
+    """Token ids of the tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE splits a text before any space that stands before a visible character, so what lies between two such places has
-    the same ids wherever it stands; those of recent words are kept. Texts with other runs of white space, or with what may be a
-    special token, are tokenized whole.
-    """
+    Byte-level BPE merges in order of rank, which is the order of ids, so that the file's vocabulary as ranks gives the same ids, four
+    times as fast. Texts that may hold a special token are left to the file's own tokenizer."""
 
     def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.special = any(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.odd = re.compile(r" \\s|<\\|" if self.special else r" \\s").search
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if self.odd(t) else t.replace(" ", "\\n\\x00 ").split("\\n\\x00") for t in texts]
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in plain if words for w in words} - known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self.whole(part), strict=True))
-        odd = iter(self.whole([t for t, words in zip(texts, plain, strict=True) if words is None]))
-        return [next(odd) if words is None else b"".join(map(known.__getitem__, words)) for words in plain]
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.marks = tuple({t[:2] for t in special})
+        # fixed values: byte-level BPE writes the printable Latin-1 characters as themselves, and the other bytes as those from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if word not in special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if any(mark in text for mark in self.marks):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -67,14 +59,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     stop = np.array([end], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        coder = CachedTokenizer(tokenizer)
+        coder = ByteTokenizer(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-                coded = coder.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coded, strict=True):
-                    ids += stop
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids = coder.encode(text or "") + stop
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or min(n, capacity), n, capacity), n]
                     for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
