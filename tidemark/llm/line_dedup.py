@@ -59,7 +59,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with text freed of later copies of repeated runs, and the columns __n_lines and __runs. docs has doc_id and text."""
     keyed = _keyed(docs)
-    runs = materialize(repeated_runs(keyed.select("__d", "__h", "text"), min_lines), "runs").select(F.col("d").alias("__rd"), F.col("h").alias("__rh"), F.col("runs").alias("__runs"))
+    runs = materialize(repeated_runs(keyed.select("__d", "__h", "text"), min_lines), "runs").select(F.col("d").alias("__rd"), F.col("h").alias("__rh"), F.col("runs").alias("__runs")).hint("merge")  # the same plan at every size
     joined = keyed.join(runs, (F.col("__d") == F.col("__rd")) & (F.col("__h") == F.col("__rh")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.exists("__runs", lambda r: (r["first"] <= i) & (i <= r["last"]))), "\n")
