@@ -187,7 +187,7 @@ def near_dedup(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_co
 
     schema = pa.schema([("shard", pa.int32()), ("bits", pa.int64()), ("home", pa.bool_())])
     links = arrow_map(classes.select("bits"), dealt, "shard int, bits long, home boolean", schema).groupBy("shard").applyInPandas(search, "a long, b long")
-    linked = components_of(materialize(links, "links"), classes)
+    linked = materialize(components_of(materialize(links, "links"), classes), "components")  # read from a table, the join can split a key of many rows
     return prints.join(linked, "bits").select("doc_id", "bits", "component_id")
 
 
@@ -208,7 +208,7 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The row of each component's smallest doc_id, once, with all columns. Rows without an id stay."""
     kept = near_dedup(docs, radius).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
     kept = materialize(kept, "kept")
-    rows = docs.join(kept.select("__kept_id"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    rows = docs.join(kept.select("__kept_id").hint("merge"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
     if not kept.where("__rows > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id is null"))
