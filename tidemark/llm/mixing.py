@@ -62,7 +62,7 @@ def sainte_lague(rows: DataFrame, within: list[str], share: str, seats: Column,
     most = F.when(F.col("missing") > 0, F.floor((F.col(share) / F.col("reach") - 1) / 2) - F.col("base") + 1).otherwise(F.col("base") - F.ceil((F.col(share) / F.col("reach") - 1) / 2))
     offers = F.when(F.coalesce(F.col("reach"), F.lit(0.0)) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(most, F.abs("missing"))).cast("int"))).otherwise(F.array().cast("array<int>"))
     offered = based.select(*columns, "base", "missing", F.explode_outer(offers).alias("k"))
-    offered = offered.withColumn("worth", F.when(F.col("missing") > 0, quotient(F.col("k"))).otherwise(-quotient(F.col("k"))))
+    offered = offered.withColumn("worth", F.when(F.col("missing") > 0, quotient(F.col("k"))).otherwise(F.when(F.col("base") > F.col("k"), -quotient(F.col("k")))))
     offered = offered.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc_nulls_last("worth"), *ties)))
     won = F.sum(F.when(F.col("k").isNotNull() & (F.col("worth").isNotNull()) & (F.col("place") <= F.abs("missing")), F.signum("missing")).otherwise(0))
     return offered.groupBy(*columns, "base").agg(won.alias("won")).select(*columns, (F.col("base") + F.col("won")).cast("long").alias("quota"))
@@ -104,7 +104,7 @@ def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     keys = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     keys = keys.groupBy("__doc", "__source", "__hash", "__size").agg(F.sum("__taken").alias("__taken"), F.count("*").alias("__same"))
     held = docs.dropDuplicates(["doc_id", "source", "text"]) if not keys.where("__same > 1").isEmpty() else docs
-    joined = held.join(keys, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__hash")))
+    joined = held.join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__hash")))
     full, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
     turns = F.sequence(F.lit(1), full + F.when(rest > 0, 1).otherwise(0))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")

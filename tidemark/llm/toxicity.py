@@ -109,6 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         yield {"weights": [weights.tobytes()], "intercept": [intercept]}
 
     model = arrow_map(sample, rows, "weights binary, intercept double", pa.schema([("weights", pa.binary()), ("intercept", pa.float64())])).first()
+    if model is None:  # no labelled rows, no task
+        return fit([], np.zeros(0))
     return np.frombuffer(bytes(model.weights), np.float32), model.intercept
 
 
@@ -131,5 +133,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted toxic, with all columns; rows without an id stay."""
-    rejected = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic_id")).where("__toxic_id is not null")
+    rejected = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic_id")).where("__toxic_id is not null").hint("merge")  # the same plan at every size
     return docs.join(rejected, F.col("doc_id") == F.col("__toxic_id"), "left_anti")
