@@ -204,7 +204,7 @@ def test_toxicity(spark):
     assert len(out) == len(rows) and held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in out)
     assert {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()} >= {1000, 1001, None}
-    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {pytest.approx(1e-9, abs=1e-6)}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and all(r.score < 1e-6 for r in toxicity.toxicity(docs, labels.limit(0)).collect())
 
 
 def test_nearest_recall_and_ties(spark):
