@@ -1,6 +1,7 @@
 """Boundary rules on hand-made rows, and some queries against their SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,5 +68,5 @@ def test_query_matches_its_sql(spark, name):
     ours = entry.queries()[name](spark, SF).toPandas()
     theirs = con.execute(entry.oracle_sql()[name]).df()
     columns = sorted(ours.columns)
-    rows = lambda df: sorted(tuple("" if x is None or x != x else str(round(float(x), 4)) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x) for x in r) for r in df[columns].itertuples(index=False))
+    rows = lambda df: sorted(tuple("" if pd.isna(x) else str(round(float(x), 4)) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x) for x in r) for r in df[columns].itertuples(index=False))
     assert rows(ours) == rows(theirs)
