@@ -21,6 +21,14 @@ def resample(ticks: DataFrame, keys: list[str], t: str, order: list[str], price:
     ).withColumnRenamed("bar", "t")
 
 
+def rebar(bars: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Bars of `seconds` from shorter ones (t, open, high, low, close), with the number of bars in each and the closing time c_t."""
+    start = (F.floor(F.col("t") / seconds) * seconds).cast("long")
+    return bars.groupBy(*keys, start.alias("bar")).agg(
+        F.min_by("open", "t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "t").alias("close"), F.count("*").alias("n_base"),
+    ).select(*keys, F.col("bar").alias("t"), (F.col("bar") + seconds).alias("c_t"), "open", "high", "low", "close", "n_base")
+
+
 def drop_open_tail(bars: DataFrame, source: DataFrame, t: str, seconds: int) -> DataFrame:
     """Bars that end no later than the source's last time; that time is one row."""
     last = source.agg(F.max(t).alias("last_time"))

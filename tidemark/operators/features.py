@@ -52,18 +52,21 @@ def width(averages: list[Column]) -> Column:
     return F.greatest(*averages) - F.least(*averages)
 
 
-def timeframe_features(bars: DataFrame, keys: list[str], periods: tuple[int, ...], *, atr: int = 14, slope: int = 3, window: int = 12, lookback: int = 50, least: int = 10, low: float = 0.2, entangled: float = 0.25) -> DataFrame:
+def timeframe_features(bars: DataFrame, keys: list[str], periods: tuple[int, ...], *, atr: int = 14, slope: int = 3, window: int = 12, lookback: int = 50, least: int = 10, low: float = 0.2, entangled: float = 0.25, average: str = "sma", price: str = "close") -> DataFrame:
     """One row per bar (keys, t, c_t, close): averages m<period> and their ribbon, order, entanglement, crossings of the last `window` bars,
     slope of the second period per ATR, and whether the range of the last `window` bars is compressed or expanded against `lookback`.
 
-    All windows share one partitioning by keys; the average true range takes one Arrow pass over the same one."""
+    `average` is sma or ema, taken of the column `price`; ranges and the true range are of the bars themselves. All windows share one
+    partitioning by keys; the average true range and exponential averages take one Arrow pass over the same one."""
     w = R.series(keys)
     rows = bars.withColumn("tr", R.true_range("high", "low", "close", w).cast("double"))
-    rows = R.recurrences(rows.select(*keys, "t", "c_t", "high", "low", "close", "tr"), keys, "t", "tr", {"atr": (1 / atr, atr)})
+    rows = rows.select(*keys, "t", "c_t", "high", "low", "close", "tr", F.col(price).alias("price"))
     names = [f"m{p}" for p in periods]
+    exponential = {("price", n): (2 / (p + 1), p) for n, p in zip(names, periods, strict=True)} if average == "ema" else {}
+    rows = R.recurrences_of(rows, keys, "t", {("tr", "atr"): (1 / atr, atr)} | exponential)
     rows = rows.select(
-        *keys, "t", "c_t", "close", F.when(F.col("atr") > 0, F.col("atr")).alias("atr"),
-        *(R.full("close", F.avg, w, p).alias(n) for p, n in zip(periods, names, strict=True)),
+        *keys, "t", "c_t", F.col("price").alias("close"), F.when(F.col("atr") > 0, F.col("atr")).alias("atr"),
+        *(F.col(n) if exponential else R.full("price", F.avg, w, p).alias(n) for p, n in zip(periods, names, strict=True)),
         (R.full("high", F.max, w, window) - R.full("low", F.min, w, window)).alias("range"),
     )
     averages, main = [F.col(n) for n in names], F.col(names[1])

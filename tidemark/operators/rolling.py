@@ -51,23 +51,29 @@ def run_length(rows: DataFrame, flag: str, keys: list[str], t: str = "t") -> Dat
 def recurrences(rows: DataFrame, keys: list[str], t: str, value: str, alphas: dict[str, tuple[float, int]]) -> DataFrame:
     """Exponential averages y = a x + (1 - a) y', seeded with the first value and shown once the given number of values was seen; all of
     them in one pass over each series."""
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, {', '.join(f'{n} double' for n in alphas)}"
+    return recurrences_of(rows, keys, t, {(value, name): rule for name, rule in alphas.items()})
+
+
+def recurrences_of(rows: DataFrame, keys: list[str], t: str, alphas: dict[tuple[str, str], tuple[float, int]]) -> DataFrame:
+    """As recurrences, for any number of columns: (column, name of its average) to factor and number of values."""
+    names = [name for _, name in alphas]
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, {', '.join(f'{n} double' for n in names)}"
 
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(t)
-        x = group[value].to_numpy(float)
-        for name, (alpha, least) in alphas.items():
+        group, made = group.sort_values(t), {}
+        for (value, name), (alpha, least) in alphas.items():
+            x = group[value].to_numpy(float)
             y, state, seen = np.empty(len(x)), np.nan, 0
             for i, v in enumerate(x):
                 if v == v:
                     state = v if seen == 0 else alpha * v + (1 - alpha) * state
                     seen += 1
                 y[i] = state if seen >= least else np.nan
-            group[name] = y
-        return group
+            made[name] = y
+        return group.assign(**made)
 
     out = rows.groupBy(*keys).applyInPandas(kernel, schema)
-    return out.select(*rows.columns, *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in alphas))
+    return out.select(*rows.columns, *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names))
 
 
 def heikin_ashi(bars: DataFrame, keys: list[str], depth: int = 60) -> DataFrame:
