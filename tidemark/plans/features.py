@@ -49,7 +49,7 @@ def _features(tag: str, hours: int) -> str:
 _HOUR = f"WITH RECURSIVE {_TAPE}, {_features('one', 1)}"
 
 
-@query(f"{_HOUR} SELECT symbol, t, round(atr, 4) AS atr, round(score, 6) AS score, round(entangled, 6) AS entangled, round(width_atr, 4) AS width_atr, round(slope_atr, 4) AS slope_atr, crossed, net, CAST(cross_count AS BIGINT) AS cross_count, round(pct, 6) AS pct, compressed, expanded FROM one_f")
+@query(f"{_HOUR} SELECT symbol, t, round(atr, 4) + 0.0 AS atr, round(score, 6) + 0.0 AS score, round(entangled, 6) + 0.0 AS entangled, round(width_atr, 4) + 0.0 AS width_atr, round(slope_atr, 4) + 0.0 AS slope_atr, crossed, net, CAST(cross_count AS BIGINT) AS cross_count, round(pct, 6) + 0.0 AS pct, compressed, expanded FROM one_f")
 def timeframe_features(spark, sf_dir):
     rounded = [F.round(c, n).alias(c) for c, n in (("atr", 4), ("score", 6), ("entangled", 6), ("width_atr", 4), ("slope_atr", 4))]
     return timeframe(spark, sf_dir, 1).select("symbol", "t", *rounded, "crossed", "net", "cross_count", F.round("pct", 6).alias("pct"), "compressed", "expanded")
@@ -62,7 +62,7 @@ def price_distances(spark, sf_dir):
     return timeframe(spark, sf_dir, 1).select("symbol", "t", *both)
 
 
-@query(f"{_HOUR} SELECT symbol, t, ({' + '.join(f'coalesce(CAST(m{p} < close AS INT), 0)' for p in PERIODS)}) / {len(PERIODS)} AS below, round((close - least({', '.join(_MS)})) / nullif(width, 0), 6) AS position, round(width - lag(width, 3) OVER w, 4) AS width_change, round((width_atr - lag(width_atr, 3) OVER w) / 3.0, 4) AS expansion FROM one_f {_W}")
+@query(f"{_HOUR} SELECT symbol, t, ({' + '.join(f'coalesce(CAST(m{p} < close AS INT), 0)' for p in PERIODS)}) / {len(PERIODS)} AS below, round((close - least({', '.join(_MS)})) / nullif(width, 0), 6) + 0.0 AS position, round(width - lag(width, 3) OVER w, 4) + 0.0 AS width_change, round((width_atr - lag(width_atr, 3) OVER w) / 3.0, 4) + 0.0 AS expansion FROM one_f {_W}")
 def price_in_ribbon(spark, sf_dir):
     w = R.series(KEY)
     below = sum((F.coalesce((F.col(m) < F.col("close")).cast("int"), F.lit(0)) for m in _MS), F.lit(0)) / len(_MS)
@@ -91,7 +91,7 @@ def aligned_features(spark, sf_dir):
     return B.asof(ours, theirs, KEY, "c_t", "hi_t", ["hi"])
 
 
-@query(f"{_ALIGN} SELECT symbol, t, {', '.join(f'{x} AS {n}' if d is None else f'round({x}, {d}) AS {n}' for n, (x, d) in _BETWEEN.items())} FROM aligned")
+@query(f"{_ALIGN} SELECT symbol, t, {', '.join(f'{x} AS {n}' if d is None else f'round({x}, {d}) + 0.0 AS {n}' for n, (x, d) in _BETWEEN.items())} FROM aligned")
 def cross_timeframe_features(spark, sf_dir):
     made = X.between("lo", "hi", AVERAGE, TREND)
     return aligned_features(spark, sf_dir).select("symbol", "t", *(made[n].alias(n) if d is None else F.round(made[n], d).alias(n) for n, (_, d) in _BETWEEN.items()))
