@@ -34,6 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, used: list[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with neutral names for all columns but those used, so that no name of an operator's own can clash with one, and the way
+    back to the names and order of docs (with further columns, if named)."""
+    named = {c: c if c in used else f"__c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*(F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in named.items()))
+    return inner, lambda df, *more: df.select(*(F.col(n).alias(c) for c, n in named.items()), *more)
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> list:
     """The column's strings as UTF-8 bytes, None for null."""
     column = batch.column(name)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import apart, materialize
 
 MIN_LINES = 3
 _LAST = (1 << 63) - 1
@@ -57,7 +57,9 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with text freed of later copies of repeated runs, and the columns __n_lines and __runs. docs has doc_id and text."""
+    """docs with text freed of later copies of repeated runs, and the columns __n_lines and __runs (those of docs with these names give
+    way). docs has doc_id and text."""
+    docs, back = apart(docs.drop("__n_lines", "__runs"), ["doc_id", "text"])
     keyed = _keyed(docs)
     runs = materialize(repeated_runs(keyed.select("__d", "__h", "text"), min_lines), "runs").select(F.col("d").alias("__rd"), F.col("h").alias("__rh"), F.col("runs").alias("__runs")).hint("merge")  # the same plan at every size
     joined = keyed.join(runs, (F.col("__d") == F.col("__rd")) & (F.col("__h") == F.col("__rh")), "left")
@@ -66,12 +68,13 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     text = F.when(F.col("__runs").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     out = joined.withColumn("__n_lines", count.cast("long")).withColumn("text", text)
-    return out.select(*docs.columns, "__n_lines", "__runs")
+    return back(out, "__n_lines", "__runs")
 
 
 def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with the cleaned text; n_chars, if there, becomes its length."""
+    docs, back = apart(docs, ["doc_id", "text", "n_chars"])
     out = line_dedup(docs, min_lines)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out)

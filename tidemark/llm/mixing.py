@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialize
+from tidemark.llm.common import WORD, apart, materialize
 
 WEIGHTS, TOTAL, CEILING = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARD_WORDS, SEED = 64, 2_000_000, 42
@@ -101,6 +101,7 @@ def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed documents: a row for each full time that one is taken, and one with its first words where a block ends inside it.
 
     Columns are those of docs; n_chars, if there, becomes the length of the text that is left."""
+    docs, back = apart(docs, ["doc_id", "text", "source", "n_chars"])
     keys = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     keys = keys.groupBy("__doc", "__source", "__hash", "__size").agg(F.sum("__taken").alias("__taken"), F.count("*").alias("__same"))
     held = docs.dropDuplicates(["doc_id", "source", "text"]) if not keys.where("__same > 1").isEmpty() else docs
@@ -112,4 +113,4 @@ def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     out = joined.withColumn("__turn", F.explode(turns)).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, byte_column, materialize, signed
+from tidemark.llm.common import apart, arrow_map, byte_column, materialize, signed
 
 SAMPLE = 20_000
 SHARD_ROWS = 40_000
@@ -206,9 +206,10 @@ def hex_bits(column) -> F.Column:
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The row of each component's smallest doc_id, once, with all columns. Rows without an id stay."""
+    docs, back = apart(docs, ["doc_id", "text"])
     kept = near_dedup(docs, radius).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
     kept = materialize(kept, "kept")
     rows = docs.join(kept.select("__kept_id").hint("merge"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
     if not kept.where("__rows > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    return back(rows.unionByName(docs.where("doc_id is null")))

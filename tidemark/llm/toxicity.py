@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, crc_bucket
+from tidemark.llm.common import apart, arrow_map, crc_bucket
 
 BITS, SIZES = 20, (3, 4, 5)
 PER_CLASS = 2000
@@ -133,5 +133,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted toxic, with all columns; rows without an id stay."""
+    docs, back = apart(docs, ["doc_id", "text"])
     rejected = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic_id")).where("__toxic_id is not null").hint("merge")  # the same plan at every size
-    return docs.join(rejected, F.col("doc_id") == F.col("__toxic_id"), "left_anti")
+    return back(docs.join(rejected, F.col("doc_id") == F.col("__toxic_id"), "left_anti"))
