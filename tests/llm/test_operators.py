@@ -131,6 +131,31 @@ def test_lines(docs, empty):
     assert line_dedup.without_repeats(empty).columns == empty.columns and line_dedup.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("min_lines, min_words", [(3, 50), (5, 12), (4, None)])
+def test_short_runs_of_many_words(spark, min_lines, min_words):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, below, two = words(64), words(49), words(30) + "\n" + words(20)
+    shared = [words(n) for n in (1, 2, 3, 4, 5, 50)]
+    texts = [words(5) + "\n" + passage, below, two, passage, words(5) + "\n" + two + "\n" + words(5), below, f"{passage}\n{below}\n{passage}"]
+    texts += ["\n".join(rng.choices(shared, k=rng.randint(1, 9))) for _ in range(40)]
+    seen, expected = set(), {}
+    for i, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for n in range(1, min_lines + 1):
+            for s in range(len(lines) - n + 1):
+                key = tuple(lines[s : s + n])
+                if key in seen and (n == min_lines or min_words is not None and len(" ".join(key).split()) >= min_words):
+                    gone |= set(range(s, s + n))
+                seen.add(key)
+        expected[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(rows, min_lines, min_words).collect()} == expected
+    if (min_lines, min_words) == (line_dedup.MIN_LINES, line_dedup.MIN_WORDS):
+        assert expected[3] == "" and expected[5] == below and expected[4].count("\n") == 1 and expected[6] == below
+        assert {r.doc_id: r.text for r in line_dedup.without_repeats(rows).collect()} == expected
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     sizes = {r[0]: len(WORD.findall(r[1] or "")) for r in corpus()}

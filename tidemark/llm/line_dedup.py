@@ -6,6 +6,7 @@ interval of suffixes with a common prefix (longest common prefix of m lines at l
 rather than by its place in the sorted array; suffixes alone in their interval drop out before the next round. Rounds end at
 `min_lines` (the last one overlaps where that is no power of two): a run of lines is a repeat exactly if all its windows of
 min_lines lines are, and maximal runs are the unions of the windows that are not the first of their interval. Those are deleted.
+With `min_words`, a shorter window of that many words or more is deleted as well, so each round then adds one line, not twice as many.
 
 Defined results: lines end at line feeds; documents stand in order of doc_id, rows without one last, and of their text's hash among
 rows with one id, so equal rows are one document and keep or lose the same lines; a null text has no lines and stays null; a text
@@ -14,12 +15,15 @@ whose lines all go becomes empty; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import apart, materialize
+from tidemark.llm.mixing import word_count
 
-MIN_LINES = 3
+MIN_LINES, MIN_WORDS = 3, 50
 _LAST = (1 << 63) - 1
 
 
@@ -28,40 +32,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _named(suffixes: DataFrame, key: list[str]) -> DataFrame:
-    """d, h, i, name of the suffixes whose key others have too; the name is the first of them."""
+    """d, h, i, name and the columns outside the key, of the suffixes whose key others have too; the name is the first of them."""
     groups = suffixes.groupBy(*key).agg(F.min(F.struct("d", "h", "i")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return materialize(suffixes.join(groups, key).select("d", "h", "i", "name"), "suffixes")
+    return materialize(suffixes.join(groups, key).drop(*key), "suffixes")
 
 
-def later_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """d, h, i of every window of min_lines lines that also starts earlier. docs: __d, __h, text."""
+def later_windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """d, h, i, n of every window of n lines that also starts earlier, where n is min_lines, or less and the window has min_words words
+    or more. docs: __d, __h, text."""
     lines = docs.where("text is not null").select(F.col("__d").alias("d"), F.col("__h").alias("h"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.select("d", "h", "i", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    counts = [] if min_words is None else [word_count(F.col("line")).alias(c) for c in ("head", "words")]  # of the first line, of all
+    lines = lines.select("d", "h", "i", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), *counts)
     names, length = _named(lines.distinct(), ["a", "b"]), 1
+    later = lambda rows, n: rows.where(F.struct("d", "h", "i") != F.col("name")).select("d", "h", "i", F.lit(n).alias("n"))
+    short = []
     while length < min_lines:
-        step = min(length, min_lines - length)
-        after = names.select("d", "h", (F.col("i") - step).alias("i"), F.col("name").alias("next"))
-        pairs = names.join(after, ["d", "h", "i"]).select("d", "h", "i", F.col("name").alias("one"), F.col("next").alias("two"))
+        if min_words is not None:
+            short.append(later(names.where(F.col("words") >= min_words), length))
+        step = min(length, min_lines - length) if min_words is None else 1
+        after = names.select("d", "h", (F.col("i") - step).alias("i"), F.col("name").alias("next"), *(F.col("words").alias("rest") for _ in counts[:1]))
+        sums = [] if min_words is None else ["head", (F.col("head") + F.col("rest")).alias("words")]
+        pairs = names.join(after, ["d", "h", "i"]).select("d", "h", "i", F.col("name").alias("one"), F.col("next").alias("two"), *sums)
         names, length = _named(pairs, ["one", "two"]), length + step
-    return names.where(F.struct("d", "h", "i") != F.col("name")).select("d", "h", "i")
+    return reduce(DataFrame.unionByName, short, later(names, min_lines))
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """d, h, runs: the maximal runs of lines to delete, as an array of structs first, last in order."""
-    windows = later_windows(docs, min_lines)
-    order = Window.partitionBy("d", "h").orderBy("i")
-    new = F.coalesce(F.col("i") > F.lag("i").over(order) + min_lines, F.lit(True))
+    windows = later_windows(docs, min_lines, min_words).withColumn("end", F.col("i") + F.col("n"))
+    order = Window.partitionBy("d", "h").orderBy("i", "n")
+    new = F.coalesce(F.col("i") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = windows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order))
-    runs = islands.groupBy("d", "h", "island").agg(F.min("i").alias("first"), (F.max("i") + min_lines - 1).alias("last"))
+    runs = islands.groupBy("d", "h", "island").agg(F.min("i").alias("first"), (F.max("end") - 1).alias("last"))
     return runs.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """docs with text freed of later copies of repeated runs, and the columns __n_lines and __runs (those of docs with these names give
     way). docs has doc_id and text."""
     docs, back = apart(docs.drop("__n_lines", "__runs"), ["doc_id", "text"])
     keyed = _keyed(docs)
-    runs = materialize(repeated_runs(keyed.select("__d", "__h", "text"), min_lines), "runs").select(F.col("d").alias("__rd"), F.col("h").alias("__rh"), F.col("runs").alias("__runs")).hint("merge")  # the same plan at every size
+    runs = materialize(repeated_runs(keyed.select("__d", "__h", "text"), min_lines, min_words), "runs").select(F.col("d").alias("__rd"), F.col("h").alias("__rh"), F.col("runs").alias("__runs")).hint("merge")  # the same plan at every size
     joined = keyed.join(runs, (F.col("__d") == F.col("__rd")) & (F.col("__h") == F.col("__rh")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.exists("__runs", lambda r: (r["first"] <= i) & (i <= r["last"]))), "\n")
@@ -71,10 +82,10 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return back(out, "__n_lines", "__runs")
 
 
-def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """docs with the cleaned text; n_chars, if there, becomes its length."""
     docs, back = apart(docs, ["doc_id", "text", "n_chars"])
-    out = line_dedup(docs, min_lines)
+    out = line_dedup(docs, min_lines, min_words)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return back(out)

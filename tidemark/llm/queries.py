@@ -50,7 +50,7 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.line_dedup import line_dedup
 
-    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=None)  # as the query's SQL defines runs
     sizes = F.transform(F.coalesce("__runs", F.array().cast("array<struct<first:int,last:int>>")), lambda r: (r["last"] - r["first"] + 1).cast("long"))
     return out.select(
         "doc_id", F.col("__n_lines").alias("n_lines"),
