@@ -182,6 +182,13 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_small_sources(spark):
+    rows = [(i, " ".join(["w"] * (10 + i % 7)), f"s{i:03}") for i in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.taken > 0 and abs(r.taken - r.target) <= 1 for r in out)
+    assert abs(sum(r.taken for r in out) - 1.5 * sum(r["size"] for r in out)) <= 1
+
+
 def test_sainte_lague_gives_the_highest_quotients(spark):
     shares = {"a": 1000.0, "b": 400.0, "c": 3.0, "d": 2.0, "e": 2.0, "f": 2.0, "g": 0.0}
     for seats in (1, 3, 7, 10, 23, 400):

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, with DataFrame functions only.
 
-Every source's target (in words) is apportioned in blocks of equal size: seats go to the source with the highest quotient
+Every source's target (in words) is apportioned in blocks of equal size (BLOCK_WORDS; less where sources are small, so that a block is
+at most a BLOCK_WORDS-th of the least positive target, and a word at least): seats go to the source with the highest quotient
 target / (2 * seats + 1), found in closed form around the common divisor and settled by the last quotients. The same rule then deals
 each source's seats to its shards, which follow a seeded hash of the document and have a bounded size. In a shard documents stand
 one after another in seeded order; the shard's quota takes that row of blocks as often as it goes round in full, and its first
@@ -69,13 +70,14 @@ def sainte_lague(rows: DataFrame, within: list[str], share: str, seats: Column,
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, text_hash for every row of docs."""
+    """doc_id, source, size, source_size, target, taken, text_hash for every row of docs. block: the most words of a block."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
     rows = materialize(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    wanted = targets(sizes)
-    ties = [F.col("source").asc_nulls_last()]
-    seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
+    ties, everything = [F.col("source").asc_nulls_last()], Window.partitionBy()
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
+    wanted = targets(sizes).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / block))).cast("long"))
+    seats = F.round(F.sum("target").over(everything) / F.col("block")).cast("long")
     wanted = sainte_lague(wanted.withColumn("seats", seats), [], "target", F.col("seats"), ties).withColumnRenamed("quota", "source_quota").drop("seats")
     wanted = materialize(wanted.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int")), "targets")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -84,13 +86,13 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_WORDS, shard_words
         wanted = F.broadcast(wanted)
     dealt = rows.join(wanted, same("source", "s")).drop("s")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     shards = sainte_lague(shards.withColumn("share", F.col("shard_size").cast("double")), ["source"], "share", F.col("source_quota"), [F.col("shard")])
-    shards = shards.select(F.col("source").alias("s"), F.col("shard").alias("k"), "shard_size", "quota")
+    shards = shards.select(F.col("source").alias("s"), F.col("shard").alias("k"), "shard_size", "quota", "block")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "doc_id"), "doc_id", "text_hash")
-    placed = dealt.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = dealt.drop("block").withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     placed = placed.join(shards, same("source", "s") & (F.col("shard") == F.col("k")))
-    words = F.least(F.col("quota") * block, CEILING * F.col("shard_size"))
+    words = F.least(F.col("quota") * F.col("block"), CEILING * F.col("shard_size"))
     rounds = F.coalesce(F.floor(F.try_divide(words, F.col("shard_size"))), F.lit(0))
     over = words - rounds * F.col("shard_size")
     again = F.greatest(F.lit(0), F.least(F.col("size"), over - (F.col("end") - F.col("size"))))
