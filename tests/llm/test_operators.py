@@ -98,6 +98,14 @@ def test_simhash(docs, empty):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(i for i in label if label[i] == i)
 
 
+def test_one_row_of_copies_without_ids_stays(spark):
+    with_id, own, alike = "a text with an id", "a text without one", "x y z " * 40
+    rows = [(4, with_id), (None, with_id), (None, with_id), (None, own), (None, own), (None, None), (None, ""), (None, alike), (None, alike.upper())]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.text for r in out if r.doc_id is not None] == [with_id]
+    assert sorted(brute_print(r.text) for r in out if r.doc_id is None) == sorted(map(brute_print, (own, "", alike)))
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_shards_find_all_links(parts):
     rng = np.random.default_rng(1)

@@ -166,7 +166,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, bits (the fingerprint as a signed long), component_id for every row of docs."""
+    """doc_id, bits (the fingerprint as a signed long), component_id, component (a fingerprint that names it) for every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialize(fingerprints(docs), "simhash")
     classes = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("rep")), "classes")
@@ -188,15 +188,15 @@ def near_dedup(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_co
     schema = pa.schema([("shard", pa.int32()), ("bits", pa.int64()), ("home", pa.bool_())])
     links = arrow_map(classes.select("bits"), dealt, "shard int, bits long, home boolean", schema).groupBy("shard").applyInPandas(search, "a long, b long")
     linked = materialize(components_of(materialize(links, "links"), classes), "components")  # read from a table, the join can split a key of many rows
-    return prints.join(linked, "bits").select("doc_id", "bits", "component_id")
+    return prints.join(linked, "bits").select("doc_id", "bits", "component_id", "component")
 
 
 def components_of(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """bits, component_id of every class. links: pairs a, b of bits."""
+    """bits, component_id, component (the least of its bits) of every class. links: pairs a, b of bits."""
     found = components(links)
     least = found.join(classes, F.col("node") == F.col("bits")).groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = found.join(least, "component").select("node", "component_id")
-    return classes.join(joined, F.col("bits") == F.col("node"), "left").select("bits", F.coalesce("component_id", "rep").alias("component_id"))
+    joined = found.join(least, "component").select("node", "component_id", "component")
+    return classes.join(joined, F.col("bits") == F.col("node"), "left").select("bits", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "bits").alias("component"))
 
 
 def hex_bits(column) -> F.Column:
@@ -205,11 +205,17 @@ def hex_bits(column) -> F.Column:
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The row of each component's smallest doc_id, once, with all columns. Rows without an id stay."""
+    """The row of each component's smallest doc_id, once, with all columns; of a component without any id, the row of the least text hash."""
     docs, back = apart(docs, ["doc_id", "text"])
-    kept = near_dedup(docs, radius).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
+    near = near_dedup(docs, radius)
+    kept = near.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
     kept = materialize(kept, "kept")
     rows = docs.join(kept.select("__kept_id").hint("merge"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
     if not kept.where("__rows > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id"])
-    return back(rows.unionByName(docs.where("doc_id is null")))
+    nameless = docs.where("doc_id is null")
+    open_ = materialize(near.where("doc_id is null and component_id is null").select(F.col("bits").alias("__bits"), "component").distinct(), "open")
+    hashed = fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text")).distinct()
+    first = hashed.join(open_, F.col("bits") == F.col("__bits")).groupBy("component").agg(F.min("doc_id").alias("__kept_hash"))
+    single = nameless.join(first.select("__kept_hash").hint("merge"), F.xxhash64("text") == F.col("__kept_hash"), "left_semi")
+    return back(rows.unionByName(single.dropDuplicates(["text"])))
