@@ -2,10 +2,11 @@
 
 A text's fingerprint is a polynomial in a fixed base modulo a prime, for two primes. Chunks are hashed apart and combined by
 length-shifted arithmetic: H(AB) = H(A) * base^len(B) + H(B). Texts of equal fingerprint and length are then compared with the
-first of their group, chunk by chunk; a text that differs (a collision) gets a group of its own kind.
+first of their group, chunk by chunk; where one differs (a collision), the whole group is split by the texts' SHA-256.
 
-Defined results: a null text counts as empty; ids may repeat (rows with the same id and text stay or go together); a null id is the
-largest, so such a row stays only in a group without any id; the empty table gives an empty result.
+Defined results: a null text counts as empty; rows are documents of their own, so an id may repeat with other texts, each of which is in
+its own group; rows with the same id and an equal text stay or go together; a null id is the largest, so such a row stays only in a
+group without any id; the empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ CHUNK = 1 << 16
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_000_003_919, 1_500_450_271)
 _SPACE = frozenset(b" \t\n\v\f\r")
-#: At most so many texts are compared with one copy of the group's first text.
+#: About so many texts are compared with one copy of the group's first text.
 PER_SALT = 512
+KEY = ["fp1", "fp2", "n_bytes"]
+_LAST = (1 << 63) - 1
 
 
 def normalise(text: bytes) -> bytes:
@@ -70,7 +73,7 @@ def same_text(a: bytes, b: bytes) -> bool:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, both fingerprints, length in bytes and sha256 of the normalised text."""
+    """(doc_id, h, text) to doc_id, h, both fingerprints, length in bytes and sha256 of the normalised text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         poly = Polynomial()
@@ -83,55 +86,56 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 out["fp2"].append(two)
                 out["n_bytes"].append(len(data))
                 out["sha"].append(hashlib.sha256(data).hexdigest())
-            yield {"doc_id": batch.column("doc_id").cast(pa.int64())} | out
+            yield {"doc_id": batch.column("doc_id").cast(pa.int64()), "h": batch.column("h")} | out
 
-    longs = [(name, pa.int64()) for name in ("doc_id", "fp1", "fp2", "n_bytes")]
-    return arrow_map(docs, rows, "doc_id long, fp1 long, fp2 long, n_bytes long, sha string", pa.schema([*longs, ("sha", pa.string())]))
+    longs = [(name, pa.int64()) for name in ("doc_id", "h", *KEY)]
+    return arrow_map(docs, rows, "doc_id long, h long, fp1 long, fp2 long, n_bytes long, sha string", pa.schema([*longs, ("sha", pa.string())]))
 
 
 def collisions(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_ids of members whose text differs from that of their group's first document. members: doc_id, keep_id, n, of groups of two or more."""
+    """The fingerprints (KEY) of groups that hold a text unlike that of their first row. docs: doc_id, h, text; members: doc_id, h, KEY,
+    first (the group's first row as a struct of doc_id and h), n, of groups of two rows or more.
+
+    Equal rows (of one id and hash) are compared once. A group's first text meets the others in bundles of at most PER_SALT."""
+    whose = lambda c: F.coalesce(F.col(c), F.lit(_LAST))
+    asked = members.select(whose("doc_id").alias("a"), F.col("h").alias("b"), *KEY, F.struct("doc_id", "h").eqNullSafe(F.col("first")).alias("first"), "n").distinct()
+    held = docs.groupBy(whose("doc_id").alias("d"), "h").agg(F.first("text").alias("text"))  # one row per id and text before the shuffle
     salts = F.ceil(F.col("n") / PER_SALT).cast("int")
-    first = F.col("doc_id") == F.col("keep_id")
-    dealt = members.select(
-        F.col("doc_id").alias("member_id"),
-        "keep_id",
-        first.alias("first"),
-        F.explode(F.when(first, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), salts).cast("int")))).alias("salt"),
-    )
-    texts = dealt.join(docs, F.col("member_id") == F.col("doc_id")).select("member_id", "keep_id", "salt", "first", "text")
+    salt = F.when(F.col("first"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("a", "b"), salts).cast("int")))
+    texts = asked.join(held, (F.col("a") == F.col("d")) & (F.col("b") == F.col("h"))).select(*KEY, "first", F.explode(salt).alias("salt"), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         group, held = None, b""
         for batch in batches:
-            odd = []
-            keys = zip(batch.column("keep_id").to_pylist(), batch.column("salt").to_pylist(), strict=True)
-            for key, doc_id, is_first, text in zip(keys, batch.column("member_id").to_pylist(), batch.column("first").to_pylist(), byte_column(batch, "text"), strict=True):
+            odd: list[tuple] = []
+            keys = zip(*(batch.column(c).to_pylist() for c in (*KEY, "salt")), strict=True)
+            for key, text in zip(keys, byte_column(batch, "text"), strict=True):
                 data = normalise(text or b"")
                 if key != group:
                     group, held = key, data
-                elif not is_first and not same_text(held, data):
-                    odd.append(doc_id)
-            yield {"odd_id": odd}
+                elif not same_text(held, data):
+                    odd.append(key[:-1])
+            yield {c: [k[i] for k in odd] for i, c in enumerate(KEY)}
 
-    ordered = texts.repartition("keep_id", "salt").sortWithinPartitions("keep_id", "salt", F.desc("first"))
-    return arrow_map(ordered, rows, "odd_id long", pa.schema([("odd_id", pa.int64())]))
+    ordered = texts.repartition(*KEY, "salt").sortWithinPartitions(*KEY, "salt", F.desc("first"))
+    return arrow_map(ordered, rows, "fp1 long, fp2 long, n_bytes long", pa.schema([(c, pa.int64()) for c in KEY]))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     prints = materialize(fingerprints(docs), "fingerprints")
-    key = ["fp1", "fp2", "n_bytes"]
-    groups = prints.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    groups = prints.groupBy(*KEY).agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.select(*KEY, "n", F.struct("least.doc_id", "least.h").alias("first"), F.col("least.doc_id").alias("keep_id"))
     groups = materialize(groups, "groups")  # read from a table, the join can split a key of many rows
-    first = materialize(prints.join(groups, key, "left"), "first")
-    odd = materialize(collisions(docs, first.where("n > 1 and doc_id is not null").select("doc_id", "keep_id", "n").distinct()).distinct(), "collisions")
+    joined = materialize(prints.join(groups, KEY, "left"), "joined")
+    odd = materialize(collisions(docs, joined.where("n > 1").select("doc_id", "h", *KEY, "first", "n")).distinct(), "collisions")
     if not odd.isEmpty():  # texts that differ though their fingerprints agree
-        variant = F.when(F.col("odd_id").isNotNull(), F.col("sha")).otherwise("")
-        apart = prints.join(odd, F.col("doc_id") == F.col("odd_id"), "left").withColumn("variant", variant).drop("odd_id")
-        key = [*key, "variant"]
-        again = apart.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
-        first = apart.join(again, key, "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return first.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+        apart = prints.join(odd, KEY, "left_semi")
+        again = apart.groupBy(*KEY, "sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        rest = joined.join(odd, KEY, "left_anti").select(*prints.columns, "keep_id", "n")
+        joined = rest.unionByName(apart.join(materialize(again, "split"), [*KEY, "sha"]).select(*prints.columns, "keep_id", "n"))
+    single = F.col("n").isNull()
+    keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
