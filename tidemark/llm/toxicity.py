@@ -6,7 +6,8 @@ sample of labelled rows (`per_class` of either label, those of least hash); scor
 
 Defined results: null and empty texts have no features and so the intercept's score; a document with several labels counts as
 toxic if one says so, and null labels are none; without labelled rows of both kinds every score is the share of toxic ones (0
-without any); rows with a null id are scored and are not held out.
+without any); rows with a null id are scored and are not held out; rows that share an id are scored each by its own text, and each of
+them is a sample of that id's label (at most per_class rows of a label are fitted).
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm.common import apart, arrow_map, crc_bucket
 
 BITS, SIZES = 20, (3, 4, 5)
 PER_CLASS = 2000
 #: Features of fewer sampled documents, or with a smaller absolute log ratio, are left out.
-LEAST_DOCS, LEAST_RATIO = 3, 1.5
+LEAST_DOCS, LEAST_RATIO = 3, 1.0
 HELD_OUT_PARTS = 5
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PIECE = 1 << 16
@@ -97,7 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = [known.where(F.col("toxic") == label).orderBy(*order).limit(per_class) for label in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "labelled_id"))  # 2 * per_class rows at most
-    sample = docs.join(chosen, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1)
+    rows_of = docs.join(chosen, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("h"))
+    first = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))  # an id may repeat in docs; each task keeps per_class rows of a label
+    sample = rows_of.withColumn("nth", first).where(F.col("nth") <= per_class).select("doc_id", "text", "toxic").repartition(1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         grams, seen = Grams(), []
@@ -114,25 +118,29 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     return np.frombuffer(bytes(model.weights), np.float32), model.intercept
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; labels has doc_id and toxic."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """docs (with doc_id and text) and the column __score, in one pass that carries every row: no join, so rows may share an id."""
     weights, intercept = train(docs, labels.select("doc_id", "toxic"), per_class)
     model = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS numbers, whatever the input
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, w = Grams(), model.value
         for batch in batches:
             margins = np.array([float(w[grams.of(text)].sum(dtype=np.float64)) for text in batch.column("text").to_pylist()]) + intercept
-            yield {"doc_id": batch.column("doc_id").cast(pa.int64()), "score": 1 / (1 + np.exp(-np.clip(margins, -40, 40)))}
+            score = pa.array(1 / (1 + np.exp(-np.clip(margins, -40, 40))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "__score"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
 
-    scored = arrow_map(docs, rows, "doc_id long, score double", pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]))
+
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs; labels has doc_id and toxic."""
+    made = scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels, per_class)
     held_out = F.coalesce(crc_bucket(F.col("doc_id"), HELD_OUT_PARTS) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return made.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that are predicted toxic, with all columns; rows without an id stay."""
+    """docs without the rows that are predicted toxic, with all columns. Rows are judged one by one, whatever ids they share or lack."""
     docs, back = apart(docs, ["doc_id", "text"])
-    rejected = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic_id")).where("__toxic_id is not null").hint("merge")  # the same plan at every size
-    return back(docs.join(rejected, F.col("doc_id") == F.col("__toxic_id"), "left_anti"))
+    return back(scored(docs, labels).where("__score < 0.5"))
