@@ -6,36 +6,48 @@ rehashing: the window of a level holds that of the level before). A vector that
 with its exact cosine in double precision. A query ends in a shard once its k-th best verified distance is within the level's
 radius; windows that cover everything verify everything, so k neighbours are found wherever there are k.
 
-Shards follow a hash of vec_id and have a bounded size; queries meet them in blocks. Nothing is dropped: a large group of equal
-vectors is spread over all shards.
-
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of another length
-are no candidates of each other; of rows with the same vec_id each is a candidate, and none is a candidate of a query with that id.
+Shards follow a hash of the row and have a bounded size; a large group of equal vectors is spread over all of them. A shard's index is
+built once by the task that holds it, and the queries stream past it in batches. Where shards are fewer than tasks, each is held by
+several tasks with a share of the queries; that number follows the cluster's cores, not the input.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id;
+vectors of another length are no candidates of each other; equal rows (id and vector) count once. Where an id has several vectors, each
+is a candidate, and each is a query of its own with ranks from 1; none is a candidate of a query with that id. Vectors are scaled by
+powers of two first, so that neither huge nor tiny components overflow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
+from tidemark.llm.common import materialize
+
+#: Rows of a shard, and the least queries worth an index of their own.
+SHARD_ROWS, LEAST_QUERIES = 16_384, 256
 #: Radii start at FIRST times the median distance and grow by GROWTH; a vector within the radius lies in a window with probability erf(HALF_WIDTH / sqrt 2).
 PROJECTIONS, THRESHOLD, HALF_WIDTH, GROWTH, FIRST = 80, 0.57, 1.0, 1.2, 0.5
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component into [0.5, 1): cosines stay as they are."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
-    big = np.abs(vectors).max(axis=1, keepdims=True)
-    scaled = vectors / big
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    made = scaled(vectors)
+    return made / np.sqrt((made * made).sum(axis=1, keepdims=True))
 
 
 class SortedProjections:
     """The index of one shard: per projection the sorted values, and each vector's place in that order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 17) -> None:
-        self.ids, self.vectors, self.unit = ids, vectors, unit(vectors)
+        self.ids, self.vectors, self.unit = ids, scaled(vectors), unit(vectors)
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
         projected = (self.unit @ self.axes).T
         order = np.argsort(projected, axis=1, kind="stable")
@@ -76,7 +88,7 @@ class SortedProjections:
                     done[q][fresh] = True
                     found[q].append(fresh)
                     scores[q] = np.concatenate([scores[q], self.unit[fresh] @ queries[q]])
-                near = len(scores[q]) >= k and 2 - 2 * np.partition(scores[q], -k)[-k] <= (GROWTH * radius) ** 2
+                near = len(scores[q]) >= k and 2 - 2 * np.partition(scores[q], -k)[-k] <= radius**2
                 if not near and not ((a == 0).all() and (b == n).all()):
                     left.append(q)
             open_, radius = left, radius * GROWTH
@@ -90,15 +102,14 @@ class SortedProjections:
 
 
 def exact(query: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, each from its own two vectors alone."""
+    """Cosines in double precision of scaled vectors, each from its own two vectors alone."""
     if not len(others):
         return np.zeros(0)
     norms = np.sqrt((query * query).sum()) * np.sqrt((others * others).sum(axis=1))
     return np.clip((others * query).sum(axis=1) / norms, -1, 1)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(flat: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
@@ -109,31 +120,59 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The batch cut wherever one of the columns changes, with their values."""
+    values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+    turn = np.zeros(max(0, len(batch) - 1), bool)
+    for v in values:
+        turn |= v[1:] != v[:-1]
+    edges = [0, *(np.flatnonzero(turn) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield tuple(v[a].item() for v in values), batch.slice(a, b - a)
+
+
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row that is_query (a condition on vec_id) holds for."""
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "embedding"]).withColumn("row", F.xxhash64("vec_id", "embedding"))
+    rows = materialize(rows, "vectors")
     total, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
+    shards = max(1, -(-total // shard_rows))
+    copies = max(1, min(-(-rows.sparkSession.sparkContext.defaultParallelism // shards), asked // LEAST_QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), "vec_id", "embedding")
-    queries = rows.where(is_query).select("dim", each(shards).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        index = SortedProjections(left.column("vec_id").to_numpy(), _matrix(left.column("embedding")))
-        originals = _matrix(right.column("embedding"))
-        query_ids, out = right.column("vec_id").to_numpy(), ([], [], [])
-        for query_id, original, at in zip(query_ids, originals, index.search(query_ids, unit(originals), k), strict=True):
+    dealt = lambda n: F.pmod(F.col("row"), F.lit(n)).cast("int")
+    stored = rows.select("dim", dealt(shards).alias("shard"), each(copies).alias("copy"), F.lit(False).alias("asks"), "vec_id", "row", "embedding")
+    queries = rows.where(is_query).select("dim", each(shards).alias("shard"), dealt(copies).alias("copy"), F.lit(True).alias("asks"), "vec_id", "row", "embedding")
+    kinds = [("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
+    schema = pa.schema(kinds)
+
+    def search(index: SortedProjections, batch: pa.RecordBatch) -> pa.RecordBatch:
+        originals, out = scaled(_matrix(batch.column("embedding"))), ([], [], [], [])
+        query_ids, numbers = batch.column("vec_id").to_numpy(), batch.column("row").to_numpy()
+        for query_id, number, original, at in zip(query_ids, numbers, originals, index.search(query_ids, unit(originals), k), strict=True):
             scores = exact(original, index.vectors[at])
             best = np.lexsort((index.ids[at], -scores))[:k]
-            out[0].append(np.full(len(best), query_id))
-            out[1].append(index.ids[at][best])
-            out[2].append(scores[best])
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
-
-    key = ["dim", "shard", "block"]
-    found = stored.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            for column, value in zip(out, (np.full(len(best), query_id), np.full(len(best), number), index.ids[at][best], scores[best]), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, (_, t) in zip(out, kinds, strict=True)], schema=schema)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In each shard the stored vectors come first, then the queries."""
+        key, parts, index = None, [], None
+        for batch in batches:
+            for (*place, asks), run in _runs(batch, ["dim", "shard", "copy", "asks"]):
+                if place != key:
+                    key, parts, index = place, [], None
+                if not asks:
+                    parts.append((run.column("vec_id").to_numpy(), _matrix(run.column("embedding"))))
+                elif parts or index:
+                    if index is None:
+                        index, parts = SortedProjections(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])), []
+                    yield search(index, run)
+
+    # a partition for each shard and copy (vectors of another length share them), so that none is coalesced with another
+    order = ["dim", "shard", "copy", "asks"]
+    together = stored.unionByName(queries).repartitionById(shards * copies, F.col("shard") * copies + F.col("copy")).sortWithinPartitions(*order)
+    found = together.mapInArrow(stream, "query_id long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
