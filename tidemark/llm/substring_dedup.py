@@ -2,18 +2,18 @@
 
 Seeds are winnowed anchors: of the word 8-grams in any window of `length` consecutive words the one of least hash (the last of equals)
 is its anchor, so equal windows have equal anchors at equal places. Anchors that stand alone in the corpus take part no further. The
-others are extended both ways, as far as a window that holds them can reach. Where all occurrences of an anchor have the same
-surroundings, every one but the first is a repeat with all its windows. Where they differ (the ends of a repeat, or a chance seed),
-the extension decides window by window: each window of the anchor is compared, by 128 bits of hash, with its first occurrence. The
-union of the repeated windows are the maximal repeats of at least `length` words.
-
-Groups are never listed: an anchor's occurrences meet in aggregates (count, least and greatest surroundings, first place) and in a
-join with that aggregate, which Spark can split where it is skewed. Within a document repeats are found without a shuffle, so a text
-of one repeated word adds few rows.
-
-Defined results: a null text has no words; documents stand in order of doc_id, rows without an id last, and of their text's hash
-among rows of one id, so equal rows are one document and lose the same words; fewer than `length` words are never removed; an empty
-table gives an empty result.
+others are extended both ways, as far as a window that holds them can reach. Occurrences whose extensions agree in full are a class;
+every one but the first of its class is a repeat with all its windows. The first ones of an anchor's classes agree only in part (at the
+ends of a repeat, or by a chance seed), and there the extension decides window by window: each window of theirs is compared with its
+first occurrence. Repeated windows that overlap or touch are joined: the maximal repeats of at least `length` words.
+
+Word sequences are equal where two independent 64-bit hashes of them are, for extensions, windows and repeats within a document alike.
+Groups are never listed: an anchor's occurrences meet in aggregates (classes, their first places) and in a join with those, which Spark
+can split where it is skewed. Within a document repeats are found without a shuffle, so a text of one repeated word adds few rows.
+
+Defined results: a null text has no words; documents stand in order of doc_id, rows without an id last, and of their text's hash among
+rows of one id, so equal rows are one document and lose the same words; fewer than `length` words are never removed; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, materialize
+from tidemark.llm.common import arrow_map, forget, materialize
 
 LENGTH, GRAM = 20, 8
 _LAST = (1 << 63) - 1
@@ -119,6 +119,21 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def alike(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal rows together, earlier ones first, and which rows of that order begin a group. Sorted by a mixture of the
+    columns; rows are equal only if all columns are, and should the mixture fail to part some, by the columns themselves."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = _mixed(key ^ c.astype(np.uint64), 0)
+    order = np.argsort(key, kind="stable")
+    same = lambda c: c[order][1:] == c[order][:-1]
+    equal = np.logical_and.reduce([same(c) for c in columns])
+    if (same(key) & ~equal).any():
+        order = np.lexsort(columns[::-1])
+        equal = np.logical_and.reduce([same(c) for c in columns])
+    return order, np.concatenate([np.ones(min(1, len(order)), bool), ~equal])
+
+
 def anchors(words: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every window's first word and anchor (its first word), and the hash of the gram at each word."""
     windows, n = words.windows(length), len(words.doc)
@@ -142,14 +157,14 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """d, h, text: the text as UTF-8 compressed by zstd, which is what later joins move."""
+    """d, h, named, text: the text as UTF-8 compressed by zstd, which is what later joins move."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield {"d": batch.column("d"), "h": batch.column("h"), "text": [press.compress(t) for t in batch.column("text").to_pylist()]}
+            yield {c: batch.column(c) for c in ("d", "h", "named")} | {"text": [press.compress(t) for t in batch.column("text").to_pylist()]}
 
-    return arrow_map(docs, rows, "d long, h long, text binary", pa.schema([("d", pa.int64()), ("h", pa.int64()), ("text", pa.binary())]))
+    return arrow_map(docs, rows, "d long, h long, named boolean, text binary", pa.schema([("d", pa.int64()), ("h", pa.int64()), ("named", pa.bool_()), ("text", pa.binary())]))
 
 
 def _unpack(column: pa.Array) -> list[bytes]:
@@ -164,7 +179,8 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """anchor, around, d, h, at: each document's first anchors of each kind (gram hash and hash of its surroundings). docs: d, h, text (binary)."""
+    """anchor, one, two, d, h, at: each document's first anchors of each kind (hash of the gram, two hashes of its extension). docs: d, h,
+    text (binary)."""
     reach = length - gram
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -179,26 +195,29 @@ def seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                     continue
                 doc = words.doc[at]
                 left, right = np.maximum(at - reach, words.first[doc]), np.minimum(at + gram + reach, words.first[doc + 1])
-                around = _mixed(words.sequences(left, right, 1) + (at - left).astype(np.uint64), 1)
-                key = _mixed(grams[at] ^ around, 0) ^ doc.astype(np.uint64)
-                _, once = np.unique(key, return_index=True)
-                once.sort()
-                yield {"anchor": grams[at[once]].view(np.int64), "around": around[once].view(np.int64), "d": d[a:b][doc[once]], "h": h[a:b][doc[once]], "at": (at[once] - words.first[doc[once]]).astype(np.int32)}
+                one, two = (_mixed(words.sequences(left, right, which) + (at - left).astype(np.uint64), which) for which in (0, 1))
+                order, first = alike(doc, grams[at], one, two)
+                once = np.sort(order[first])
+                signed = {name: x[once].view(np.int64) for name, x in (("anchor", grams[at]), ("one", one), ("two", two))}
+                yield signed | {"d": d[a:b][doc[once]], "h": h[a:b][doc[once]], "at": (at[once] - words.first[doc[once]]).astype(np.int32)}
 
-    longs = [(c, pa.int64()) for c in ("anchor", "around", "d", "h")]
-    return arrow_map(docs, rows, "anchor long, around long, d long, h long, at int", pa.schema([*longs, ("at", pa.int32())]))
+    longs = [(c, pa.int64()) for c in ("anchor", "one", "two", "d", "h")]
+    return arrow_map(docs, rows, "anchor long, one long, two long, d long, h long, at int", pa.schema([*longs, ("at", pa.int32())]))
 
 
 def repeats(packed: DataFrame, plain: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """d, h, windows: the first words of the repeated windows that another document has first. Repeats within a document come later."""
-    found = seeds(plain, length, gram)
     place = F.struct("d", "h", "at")
-    groups = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"), F.min(place).alias("first")).where("n > 1")
-    groups = materialize(groups.select("anchor", (F.col("low") == F.col("high")).alias("whole"), "first"), "anchors")
-    marks = found.join(groups, "anchor").where(~F.col("whole") | (place != F.col("first"))).select("d", "h", "at", "whole")
+    found = materialize(seeds(plain, length, gram), "seeds")
+    several = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("one").alias("low"), F.max("one").alias("high"), F.min("two").alias("low2"), F.max("two").alias("high2")).where("n > 1")
+    several = materialize(several.select("anchor", ((F.col("low") < F.col("high")) | (F.col("low2") < F.col("high2"))).alias("open")), "anchors")
+    live = materialize(found.join(several, "anchor").drop("anchor"), "live")  # read from a table, a join can split a key of many rows
+    classes = materialize(live.groupBy("one", "two").agg(F.min(place).alias("first")), "classes")
+    whole = place != F.col("first")
+    marks = live.join(classes, ["one", "two"]).where(whole | F.col("open")).groupBy("d", "h").agg(F.collect_set(2 * F.col("at") + whole.cast("int")).alias("marks"))
     marks = materialize(marks, "marks")
-    code = 2 * F.col("at") + F.col("whole").cast("int")
-    work = packed.join(marks.groupBy("d", "h").agg(F.collect_list(code).alias("marks")), ["d", "h"])
+    forget(found, several, live, classes)
+    work = packed.join(marks, ["d", "h"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher = Hasher()
@@ -215,13 +234,12 @@ def repeats(packed: DataFrame, plain: DataFrame, length: int = LENGTH, gram: int
                 for value, whole in ((2, True), (1, False)):
                     at = windows[kind == value]
                     doc = words.doc[at]
-                    zero = np.zeros(len(at), np.int64)
-                    one = zero if whole else words.sequences(at, at + length, 0).view(np.int64)
-                    two = zero if whole else words.sequences(at, at + length, 1).view(np.int64)
+                    one, two = (np.zeros(len(at), np.uint64) if whole else words.sequences(at, at + length, which) for which in (0, 1))
                     if not whole:  # the first of equal windows in a document speaks for it
-                        _, once = np.unique(_mixed(one.view(np.uint64), 0) ^ doc.astype(np.uint64), return_index=True)
+                        order, first = alike(doc, one, two)
+                        once = np.sort(order[first])
                         at, doc, one, two = at[once], doc[once], one[once], two[once]
-                    yield {"one": one, "two": two, "d": d[a:b][doc], "h": h[a:b][doc], "at": (at - words.first[doc]).astype(np.int32), "whole": np.full(len(at), whole)}
+                    yield {"one": one.view(np.int64), "two": two.view(np.int64), "d": d[a:b][doc], "h": h[a:b][doc], "at": (at - words.first[doc]).astype(np.int32), "whole": np.full(len(at), whole)}
 
     longs = [(c, pa.int64()) for c in ("one", "two", "d", "h")]
     compared = arrow_map(work, rows, "one long, two long, d long, h long, at int, whole boolean", pa.schema([*longs, ("at", pa.int32()), ("whole", pa.bool_())]))
@@ -230,7 +248,7 @@ def repeats(packed: DataFrame, plain: DataFrame, length: int = LENGTH, gram: int
     firsts = open_.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     firsts = materialize(firsts, "firsts")
     later = open_.join(firsts, ["one", "two"]).where(place != F.col("first")).select("d", "h", "at")
-    return compared.where("whole").select("d", "h", "at").unionByName(later).groupBy("d", "h").agg(F.collect_list("at").alias("windows"))
+    return materialize(compared.where("whole").select("d", "h", "at").unionByName(later).groupBy("d", "h").agg(F.collect_set("at").alias("windows")), "repeats")
 
 
 def covered(words: Words, starts: np.ndarray, length: int) -> np.ndarray:
@@ -242,42 +260,45 @@ def covered(words: Words, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256 for every row of docs."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """doc_id, n_words, n_removed, spans (the maximal repeats that go: structs of their first word and the first one after), kept (the words
+    that stay, joined by one space), kept_sha256 for every row of docs."""
+    d = F.col(id_col).cast("long")
+    keyed = docs.select(F.coalesce(d, F.lit(_LAST)).alias("d"), F.xxhash64(text_col).alias("h"), d.isNotNull().alias("named"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     packed = _packed(keyed)
     found = repeats(packed, keyed, length, gram)
     work = packed.join(found, ["d", "h"], "left")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hasher = Hasher()
         for batch in batches:
-            d, texts = batch.column("d"), _unpack(batch.column("text"))
+            d, named, texts = batch.column("d").to_pylist(), batch.column("named").to_pylist(), _unpack(batch.column("text"))
             given, limits = _lists(batch.column("windows"))
             for a, b in _chunks(texts):
                 words = Words(texts[a:b], hasher)
                 windows = words.windows(length)
-                one = words.sequences(windows, windows + length, 0)
-                two = words.sequences(windows, windows + length, 1)
-                doc = words.doc[windows]
+                one, two = (words.sequences(windows, windows + length, which) for which in (0, 1))
                 repeated = np.zeros(len(words.doc) + 1, bool)
                 repeated[np.repeat(words.first[: b - a], np.diff(limits[a : b + 1])) + given[limits[a] : limits[b]]] = True
-                elsewhere = repeated[windows]
-                key = _mixed(one ^ (two << np.uint64(1)), 0) ^ doc.astype(np.uint64)
-                _, first, same = np.unique(key, return_index=True, return_inverse=True)
-                gone = elsewhere[first][same] | (first[same] != np.arange(len(windows)))  # equal windows of a document share their fate
+                order, first = alike(words.doc[windows], one, two)
+                group = np.empty(len(windows), np.int64)
+                group[order] = np.cumsum(first) - 1
+                leader = order[first]
+                gone = repeated[windows[leader]][group] | (leader[group] != np.arange(len(windows)))  # equal windows of a document share their fate
                 removed = covered(words, windows[gone], length)
-                out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "kept_sha256": []}
+                out: dict[str, list] = {"n_words": [], "n_removed": [], "spans": [], "kept": [], "kept_sha256": []}
                 for i, text in enumerate(texts[a:b]):
                     own = removed[words.first[i] : words.first[i + 1]]
                     pieces = text.split()
                     lost = int(own.sum())
+                    turns = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).view(np.int8))).tolist() if lost else []
                     kept = b" ".join(pieces if not lost else [w for w, r in zip(pieces, own.tolist(), strict=True) if not r])
                     out["n_words"].append(len(pieces))
                     out["n_removed"].append(lost)
+                    out["spans"].append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2], strict=True)])
                     out["kept"].append(kept.decode("utf-8", "replace"))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                yield {"doc_id": d.slice(a, b - a)} | out
+                yield {"doc_id": [x if own else None for x, own in zip(d[a:b], named[a:b], strict=True)]} | out
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
-    out = arrow_map(work, rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string", schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.string()), ("kept_sha256", pa.string())])
+    return arrow_map(work, rows, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string, kept_sha256 string", schema)
