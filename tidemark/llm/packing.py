@@ -6,26 +6,28 @@ follow the input. A best-fit start is improved by swap-based local search among
 one for one or two for one, wherever that raises the sum of squared fills, until bins become empty or nothing improves. Pieces are
 then numbered within their length by seeded buckets and take the plan's places by binary search.
 
-Defined results: a null or empty text has one piece, of the end token alone; rows that share an id are packed each for itself; a null
-id is carried along; an empty table gives an empty result.
+Defined results: a null or empty text has one piece, of the end token alone; rows that share an id, or have none, are packed each for
+itself, equal rows too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, materialize
 
 CAPACITY, END = 1024, 2
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_192
 
 
 class ByteTokenizer:
@@ -55,28 +57,29 @@ class ByteTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, text) to doc_id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
+    """(doc_id, text) to doc_id, piece, start, length, ids_crc32, `number` (running in each task), and the ids themselves if asked for."""
     stop = np.array([end], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        coder = ByteTokenizer(tokenizer)
+        coder, context = ByteTokenizer(tokenizer), TaskContext.get()
+        number = itertools.count((context.partitionId() if context else 0) << 40)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+                out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "number", "ids")}
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = coder.encode(text or "") + stop
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or min(n, capacity), n, capacity), n]
                     for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         view = ids[4 * a : 4 * b]
-                        values = (doc_id, piece, a, b - a, zlib.crc32(view), np.frombuffer(view, "<i4").tolist() if keep_ids else None)
+                        values = (doc_id, piece, a, b - a, zlib.crc32(view), next(number), np.frombuffer(view, "<i4").tolist() if keep_ids else None)
                         for column, value in zip(out.values(), values, strict=True):
                             column.append(value)
                 yield out
 
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    made = arrow_map(docs, rows, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>", schema)
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("number", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    made = arrow_map(docs, rows, "doc_id long, piece int, start long, length long, ids_crc32 long, number long, ids array<int>", schema)
     return made if keep_ids else made.drop("ids")
 
 
@@ -187,13 +190,14 @@ class Places:
 
 
 def ranked(cut: DataFrame) -> DataFrame:
-    """Numbers the rows of each length from 0: by buckets of bounded size, whose numbers start where the buckets before them end."""
+    """Numbers the rows of each length from 0: by buckets of bounded size, whose numbers start where the buckets before them end. Buckets
+    follow the stored running number, so that neither a frequent length nor rows alike make one large."""
     buckets = max(1, -(-cut.count() // BUCKET_ROWS))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("length").alias("l"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("number")) - 1
     numbered = dealt.withColumn("inside", inside)
     return numbered.join(starts, (F.col("length") == F.col("l")) & (F.col("bucket") == F.col("b"))).withColumn("rank", F.col("first") + F.col("inside")).drop("l", "b", "first", "inside", "bucket")
 
