@@ -50,7 +50,7 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.line_dedup import line_dedup
 
-    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=None)  # as the query's SQL defines runs
+    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     sizes = F.transform(F.coalesce("__runs", F.array().cast("array<struct<first:int,last:int>>")), lambda r: (r["last"] - r["first"] + 1).cast("long"))
     return out.select(
         "doc_id", F.col("__n_lines").alias("n_lines"),
@@ -87,7 +87,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_substring_dedup, op4_packing, op5_perspectives, op6_line_dedup, op7_mixing, op8_simhash, op9_hmm_scores, op10_exact_dedup)}
 
-_MIN_LINES = 3
+_MIN_LINES, _MIN_WORDS = 3, 50
+_WINDOWS = " UNION ALL ".join(
+    f"SELECT doc_id, i, {n} AS n, list(line) OVER w AS w, sum(words) OVER w AS words FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    for n in range(1, _MIN_LINES + 1)
+)
 SQL = {
     "op5_perspectives": """
 WITH said AS (
@@ -109,18 +113,17 @@ SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, speaker
   CASE WHEN own THEN CAST(start + length(head) AS BIGINT) END AS mask_start,
   CASE WHEN own THEN CAST(start + length(rendered) - 1 AS BIGINT) END AS mask_end
 FROM placed""",
-    "op6_line_dedup": f"""
+    "op6_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL
-), windows AS (
-  SELECT doc_id, i, line, list(line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_MIN_LINES - 1} FOLLOWING) AS w FROM lines
-), later AS (
-  SELECT doc_id, i FROM (
-    SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows WHERE len(w) = {_MIN_LINES}
+), counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+windows AS ({_WINDOWS}), later AS (
+  SELECT doc_id, i, n FROM (
+    SELECT doc_id, i, n, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows WHERE len(w) = n AND (n = {_MIN_LINES} OR words >= {_MIN_WORDS})
   ) WHERE nth > 1
 ), removed AS (
   SELECT l.doc_id, l.i, l.line, count(x.i) > 0 AS gone
-  FROM lines l LEFT JOIN later x ON l.doc_id = x.doc_id AND l.i BETWEEN x.i AND x.i + {_MIN_LINES - 1}
+  FROM lines l LEFT JOIN later x ON l.doc_id = x.doc_id AND l.i BETWEEN x.i AND x.i + x.n - 1
   GROUP BY l.doc_id, l.i, l.line
 ), islands AS (
   SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM removed WHERE gone
