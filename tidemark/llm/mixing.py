@@ -3,12 +3,12 @@
 Every source's target (in words) is apportioned in blocks of equal size (BLOCK_WORDS; less where sources are small, so that a block is
 at most a BLOCK_WORDS-th of the least positive target, and a word at least): seats go to the source with the highest quotient
 target / (2 * seats + 1), found in closed form around the common divisor and settled by the last quotients. The same rule then deals
-each source's seats to its shards, which follow a seeded hash of the document and have a bounded size. In a shard documents stand
+each source's seats to its shards, which follow a seeded hash of the document and its text and have a bounded size, in words and rows. In a shard documents stand
 one after another in seeded order; the shard's quota takes that row of blocks as often as it goes round in full, and its first
 blocks once more.
 
 Defined results: a null text has size 0, takes nothing and stays in the result; the null source is a source of its own, last in
-order; rows that share an id stand beside each other; sources without words have target 0; an empty table gives an empty result.
+order; rows that share an id but not a text are documents of their own; sources without words have target 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD, apart, materialize
 
 WEIGHTS, TOTAL, CEILING = (5, 2, 1), 1.5, 2
-BLOCK_WORDS, SHARD_WORDS, SEED = 64, 2_000_000, 42
+BLOCK_WORDS, SEED = 64, 42
+#: Words and rows of a shard, about.
+SHARD_WORDS, SHARD_ROWS = 8_000_000, 200_000
 #: Rows of the table of sources up to which it is broadcast; beyond, the join shuffles.
 MOST_BROADCAST = 10_000
 
@@ -28,8 +30,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, ceiling: float = CEILING) -> DataFrame:
-    """source, source_size, target. sizes: source, source_size, a row each.
+def targets(sizes: DataFrame, *carried: str, weights: tuple = WEIGHTS, total: float = TOTAL, ceiling: float = CEILING) -> DataFrame:
+    """source, source_size, target and the columns carried along. sizes: source, source_size, a row each.
 
     Capped shares w * t with the largest common t: sources are capped in order of cap / weight, so t follows from running sums."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -42,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, ce
     level = (total * F.sum(F.col("source_size").cast("double")).over(everything) - F.col("caps")) / F.col("open")
     rows = rows.withColumn("level", level)
     t = F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(everything)  # levels rise up to the first open source and fall after it
-    return rows.select("source", "source_size", F.when(t.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * t)).alias("target"))
+    return rows.select("source", "source_size", *carried, F.when(t.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * t)).alias("target"))
 
 
 def sainte_lague(rows: DataFrame, within: list[str], share: str, seats: Column, ties: list) -> DataFrame:
@@ -73,19 +75,19 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_WORDS, shard_words
     """doc_id, source, size, source_size, target, taken, text_hash for every row of docs. block: the most words of a block."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
     rows = materialize(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     ties, everything = [F.col("source").asc_nulls_last()], Window.partitionBy()
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
-    wanted = targets(sizes).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / block))).cast("long"))
+    wanted = targets(sizes, "n_rows").withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / block))).cast("long"))
     seats = F.round(F.sum("target").over(everything) / F.col("block")).cast("long")
     wanted = sainte_lague(wanted.withColumn("seats", seats), [], "target", F.col("seats"), ties).withColumnRenamed("quota", "source_quota").drop("seats")
-    wanted = materialize(wanted.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int")), "targets")
+    wanted = materialize(wanted.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / SHARD_ROWS)).cast("int")).drop("n_rows"), "targets")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     wanted = wanted.withColumnRenamed("source", "s")
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     dealt = rows.join(wanted, same("source", "s")).drop("s")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("shards")).cast("int"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     shards = sainte_lague(shards.withColumn("share", F.col("shard_size").cast("double")), ["source"], "share", F.col("source_quota"), [F.col("shard")])
     shards = shards.select(F.col("source").alias("s"), F.col("shard").alias("k"), "shard_size", "quota", "block")
