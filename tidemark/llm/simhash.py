@@ -2,18 +2,20 @@
 
 Fingerprints: 64 bits from the XXH64 hashes of three-word shingles. A top tree of vantage points, fitted on a bounded sample, deals
 distinct fingerprints to shards; a fingerprint whose ball of the given radius crosses a boundary also queries the shards beyond it.
-Each shard searches with a vantage-point tree of its own, prunes by the triangle inequality, and returns a spanning forest of its
-links, never all pairs. Components follow by minimum labels with pointer jumping. The sample decides how even the shards are, not
-what is found.
-
-Defined results: null or blank texts have fingerprint zero and are linked like any other; rows that share an id have the same
-component; a row with a null id gets the component of its fingerprint's class (null if the class has no id at all); an empty table
-gives an empty result.
+Shards that hold too many fingerprints get trees of their own, from samples of their own, until all are small enough (a ball of
+fingerprints too dense to part stays whole). Each shard searches with a vantage-point tree, prunes by the triangle inequality, and
+returns a spanning forest of its links, never all pairs. Components follow by minimum labels with pointer jumping. Samples decide how
+even the shards are, not what is found.
+
+Defined results: null or blank texts have fingerprint zero and are linked like any other; rows are documents of their own, so rows that
+share an id but not a text are linked only through their fingerprints; a row with a null id gets the component of its fingerprint's
+class (null if the class has no id at all); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import apart, arrow_map, byte_column, materialize, signed
 
-SAMPLE = 20_000
-SHARD_ROWS = 40_000
+#: Fingerprints that the top tree is fitted on, and the most shards that it or one round of further trees makes of a shard.
+SAMPLE, FANOUT = 20_000, 1_024
+#: A shard of more fingerprints than SPLIT times SHARD_ROWS is dealt again, by a tree fitted on at most RESAMPLE of them.
+SHARD_ROWS, SPLIT, RESAMPLE = 40_000, 4, 2_048
 LEAF = 96
 _BLOCK = 1 << 16
 
@@ -47,11 +51,13 @@ def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, h, bits of docs (doc_id, h, text)."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {"doc_id": batch.column("doc_id").cast(pa.int64()), "bits": [signed(fingerprint(t or b"")) for t in byte_column(batch, "text")]}
+            yield {"doc_id": batch.column("doc_id").cast(pa.int64()), "h": batch.column("h"), "bits": [signed(fingerprint(t or b"")) for t in byte_column(batch, "text")]}
 
-    return arrow_map(docs, rows, "doc_id long, bits long", pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())]))
+    return arrow_map(docs, rows, "doc_id long, h long, bits long", pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "bits")]))
 
 
 def distance(values: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -165,30 +171,63 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "label")
 
 
-def near_dedup(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, bits (the fingerprint as a signed long), component_id, component (a fingerprint that names it) for every row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialize(fingerprints(docs), "simhash")
-    classes = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("rep")), "classes")
-    total = classes.count()
-    sample = [r.bits for r in classes.select("bits").orderBy(F.xxhash64("bits"), "bits").limit(SAMPLE).collect()]
-    tree = top_tree(np.array(sample, np.int64).view(np.uint64), -(-total // SHARD_ROWS))
+def dealt(values: DataFrame, trees: dict[int, list], radius: int, fresh: int) -> DataFrame:
+    """shard, bits, home of values (shard, bits) after each shard's tree; shards are numbered anew, shard * fresh + leaf."""
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            bits = batch.column("bits").to_numpy()
-            index, shard, home = deal(tree, bits.view(np.uint64), radius)
-            yield {"shard": shard.astype(np.int32), "bits": bits[index], "home": home}
+            own, bits = batch.column("shard").to_numpy(), batch.column("bits").to_numpy()
+            for number in np.unique(own):
+                some = bits[own == number]
+                index, leaf, home = deal(trees[int(number)], some.view(np.uint64), radius)
+                yield {"shard": number * fresh + leaf, "bits": some[index], "home": home}
+
+    return arrow_map(values.select("shard", "bits"), rows, "shard long, bits long, home boolean", pa.schema([("shard", pa.int64()), ("bits", pa.int64()), ("home", pa.bool_())]))
+
+
+def sharded(classes: DataFrame, radius: int, shard_rows: int) -> list[DataFrame]:
+    """Tables of shard, bits, home, whose shards are all small enough (or can't be parted); shards of different tables are apart.
+
+    Each round reads the sizes of its shards, at most FANOUT for each one that it parted, and samples of at most RESAMPLE each."""
+    total = classes.count()
+    sample = [r.bits for r in classes.select("bits").orderBy(F.xxhash64("bits"), "bits").limit(SAMPLE).collect()]
+    trees = {0: top_tree(np.array(sample, np.int64).view(np.uint64), min(FANOUT, -(-total // shard_rows)))}
+    here, done = dealt(classes.select(F.lit(0).cast("long").alias("shard"), "bits"), trees, radius, 0), []
+    before = {0: total}
+    while True:
+        if max(before.values(), default=0) <= SPLIT * shard_rows:  # too few rows for any shard to be too large
+            return [*done, here]
+        here = materialize(here, "shards")
+        sizes = {r.shard: r.n for r in here.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        large = {s: n for s, n in sizes.items() if n > SPLIT * shard_rows and n < 0.9 * before[s // FANOUT]}
+        if not large:
+            return [*done, here]
+        again = here.where(F.col("shard").isin(list(large)))
+        done.append(here.where(~F.col("shard").isin(list(large))))
+        parts = F.create_map(*(F.lit(x) for s, n in large.items() for x in (int(s), -(-n // RESAMPLE))))
+        picked = again.where(F.pmod(F.xxhash64(F.lit(3), "bits"), parts[F.col("shard")]) == 0).select("shard", "bits").toArrow()
+        shard, bits = picked.column("shard").to_numpy(), picked.column("bits").to_numpy().view(np.uint64)
+        trees = {s: top_tree(bits[shard == s], min(FANOUT, -(-n // shard_rows))) for s, n in large.items()}
+        here, before = dealt(again, trees, radius, FANOUT), large
+
+
+def near_dedup(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, h (hash of the text), bits (the fingerprint as a signed long), component_id, component (a fingerprint that names it) for
+    every row of docs."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    prints = materialize(fingerprints(docs), "simhash")
+    classes = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("rep")), "classes")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         bits = group["bits"].to_numpy()
         a, b = shard_links(bits.view(np.uint64), group["home"].to_numpy(), radius)
         return pd.DataFrame({"a": bits[a], "b": bits[b]})
 
-    schema = pa.schema([("shard", pa.int32()), ("bits", pa.int64()), ("home", pa.bool_())])
-    links = arrow_map(classes.select("bits"), dealt, "shard int, bits long, home boolean", schema).groupBy("shard").applyInPandas(search, "a long, b long")
-    linked = materialize(components_of(materialize(links, "links"), classes), "components")  # read from a table, the join can split a key of many rows
-    return prints.join(linked, "bits").select("doc_id", "bits", "component_id", "component")
+    tables, tasks = sharded(classes, radius, shard_rows), max(1, -(-classes.count() // shard_rows))
+    found = [table.repartition(tasks, "shard").groupBy("shard").applyInPandas(search, "a long, b long") for table in tables]
+    links = materialize(reduce(DataFrame.unionByName, found), "links")
+    linked = materialize(components_of(links, classes), "components")  # read from a table, the join can split a key of many rows
+    return prints.join(linked, "bits").select("doc_id", "h", "bits", "component_id", "component")
 
 
 def components_of(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -205,17 +244,14 @@ def hex_bits(column) -> F.Column:
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The row of each component's smallest doc_id, once, with all columns; of a component without any id, the row of the least text hash."""
+    """One row of each component, with all columns: that of the smallest doc_id (null last), then of the least text hash. Where that very
+    row is there several times, it comes once."""
     docs, back = apart(docs, ["doc_id", "text"])
-    near = near_dedup(docs, radius)
-    kept = near.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows"))
-    kept = materialize(kept, "kept")
-    rows = docs.join(kept.select("__kept_id").hint("merge"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    equal = near_dedup(docs, radius).groupBy("component", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = equal.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "n")).alias("x"))
+    kept = materialize(first.select(F.col("x.doc_id").alias("__kept_id"), F.col("x.h").alias("__kept_h"), F.col("x.n").alias("__rows")), "kept")
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    rows = hashed.join(kept.select("__kept_id", "__kept_h").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__h") == F.col("__kept_h")), "left_semi")
     if not kept.where("__rows > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    open_ = materialize(near.where("doc_id is null and component_id is null").select(F.col("bits").alias("__bits"), "component").distinct(), "open")
-    hashed = fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text")).distinct()
-    first = hashed.join(open_, F.col("bits") == F.col("__bits")).groupBy("component").agg(F.min("doc_id").alias("__kept_hash"))
-    single = nameless.join(first.select("__kept_hash").hint("merge"), F.xxhash64("text") == F.col("__kept_hash"), "left_semi")
-    return back(rows.unionByName(single.dropDuplicates(["text"])))
+        rows = rows.dropDuplicates(["doc_id", "__h"])
+    return back(rows)
