@@ -276,23 +276,43 @@ def test_language_model(docs, empty):
     assert hmm.score_documents(empty).count() == 0
 
 
-def test_forward_recursion_is_exact_and_training_raises_likelihood():
+@pytest.mark.parametrize("size", [2, 3, 100])
+def test_forward_recursion_is_exact_and_training_counts_whole_sequences(size):
     rng = np.random.default_rng(4)
     model = hmm.Model.initial(np.full(5, 0.2), states=2)
-    seqs = [rng.integers(0, 5, n) for n in (1, 4, 6)]
-    lengths = np.array([len(s) for s in seqs])
-    flat = np.concatenate(seqs)
-    got = model.log10_likelihood(flat, np.cumsum(lengths) - lengths, lengths)
+    seqs = [rng.integers(0, 5, n) for n in (1, 4, 7, 2)]
+    lengths, flat = np.array([len(s) for s in seqs]), np.concatenate(seqs)
+    got, counts = model.log10_likelihood(flat, lengths, size), model.expected(flat, lengths, size)
+    starts, moves, emissions = np.zeros(2), np.zeros((2, 2)), np.zeros((5, 2))
     for s, x in zip(seqs, got, strict=True):
-        paths = itertools.product(range(2), repeat=len(s))
-        total = sum(model.start[p[0]] * np.prod([model.emit[o, z] for o, z in zip(s, p, strict=True)]) * np.prod([model.move[a, b] for a, b in zip(p, p[1:], strict=False)]) for p in paths)
+        weight = {p: model.start[p[0]] * np.prod([model.emit[o, z] for o, z in zip(s, p, strict=True)]) * np.prod([model.move[a, b] for a, b in zip(p, p[1:], strict=False)]) for p in itertools.product(range(2), repeat=len(s))}
+        total = sum(weight.values())
         assert abs(np.log10(total) - x) < 1e-12
-    order = np.argsort(-lengths)
-    seen = np.zeros((6, 3), np.uint16)
-    for j, i in enumerate(order):
-        seen[: lengths[i], j] = seqs[i]
-    starts, moves, emissions = model.expected(seen, lengths[order], np.ones(3, bool))
-    assert abs(starts.sum() - 3) < 1e-9 and abs(moves.sum() - (lengths - 1).sum()) < 1e-9 and abs(emissions.sum() - lengths.sum()) < 1e-9
+        for p, w in weight.items():
+            starts[p[0]] += w / total
+            for o, z in zip(s, p, strict=True):
+                emissions[o, z] += w / total
+            for a, b in zip(p, p[1:], strict=False):
+                moves[a, b] += w / total
+    assert all(np.allclose(a, b, atol=1e-10) for a, b in zip(counts, (starts, moves, emissions), strict=True))
+
+
+def test_score_against_plain_recursion(docs):
+    """Every word of the small corpus has a class of its own, so that a word's probability in a state is its class's emission."""
+    made = hmm.sequences(hmm.blocks_of(docs.select("doc_id", "text")))
+    model, inside, everything, distinct, train_docs = hmm.fit(made, 2)
+    classes = {r.doc_id: np.frombuffer(hmm.zstandard.ZstdDecompressor().decompress(bytes(r.classes)), "<u2").tolist() for r in made.where("train_docs is null").collect()}
+    out, texts = by_id(hmm.score_documents(docs, passes=2)), {r[0]: r[1] for r in corpus()}
+    tokens = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    counts = Counter(w for i, x in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+    for i, words in tokens.items():
+        kinds, message, score = [*classes[i], hmm.END], model.start, 0.0
+        for at, kind in enumerate(kinds):
+            count = train_docs if kind == hmm.END else counts[words[at]]
+            message = (message @ model.move if at else message) * model.emit[kind] * (count + 1) / 10 ** inside[kind]
+            score += np.log10(message.sum())
+            message = message / message.sum()
+        assert abs(score - out[i].score) < 1e-8
 
 
 def test_perspectives(spark):
