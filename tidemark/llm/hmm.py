@@ -128,24 +128,23 @@ def sequences(blocks: DataFrame) -> DataFrame:
     totals = words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("held"), F.min("block").alias("lead"))
     totals = materialize(totals, "counts")  # read from a table, the join below can split a word of many rows
     top = totals.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word").collect()  # FREQUENT rows at most
-    frequent = np.array(sorted(r.word for r in top), np.int64)
-    shared = words.drop("n").join(totals.where("held > 1").drop("held"), "word").select("block", "i", "c", (F.col("block") == F.col("lead")).alias("lead"))
+    frequent = blocks.sparkSession.createDataFrame([(r.word, k) for k, r in enumerate(top)], "word long, own int")
+    known = totals.join(F.broadcast(frequent), "word", "left").where("held > 1 or own is not null")  # FREQUENT rows broadcast
+    shared = words.drop("n").join(known.drop("held"), "word").select("block", "i", F.col("c").cast("long").alias("c"), (F.col("block") == F.col("lead")).alias("lead"), F.coalesce("own", F.lit(-1)).alias("own"))
     names = ["doc_id", "held_out", "n_words", "n_known", "log_counts", "classes", "train_docs", "class_tokens", "class_words"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def number(table: pa.Table, given: pa.Table) -> pa.Table:
         expand, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        is_doc = table.column("words").is_null()
-        docs, own_row = table.filter(is_doc), table.filter(table.column("words").is_valid()).to_pylist()[0]
-        distinct, suffix, own = (np.frombuffer(expand.decompress(own_row[c]), kind) for c, kind in (("words", "<i8"), ("suffixes", "<u2"), ("counts", "<i8")))
-        total, leads = own.astype(np.int64), np.ones(len(distinct), bool)
-        at = given.column("i").to_numpy()
+        of_block = table.column("suffixes").is_valid()
+        docs, own_row = table.filter(table.column("suffixes").is_null()), table.filter(of_block).to_pylist()[0]
+        suffix, own = (np.frombuffer(expand.decompress(own_row[c]), kind) for c, kind in (("suffixes", "<u2"), ("counts", "<i8")))
+        total, leads = own.astype(np.int64), np.ones(len(own), bool)
+        at, number = given.column("i").to_numpy(), given.column("own").to_numpy()
         total[at], leads[at] = given.column("c").to_numpy(), given.column("lead").to_numpy(zero_copy_only=False)
         kind = FREQUENT + suffix.astype(np.int64)
-        if len(frequent):
-            near = np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)
-            kind = np.where(frequent[near] == distinct, near, kind)
+        kind[at[number >= 0]] = number[number >= 0]
         logs, known, of_word = np.log10(total + 1.0), total > 0, kind.astype("<u2")
         rows: dict[str, list] = {c: docs.column(c).to_pylist() for c in ("doc_id", "held_out", "n_words")} | {"n_known": [], "log_counts": [], "classes": []}
         for data in docs.column("places").to_pylist():
@@ -160,7 +159,7 @@ def sequences(blocks: DataFrame) -> DataFrame:
         rows["class_words"] = [*blank, np.bincount(kind[leads & known], minlength=END).tolist()]
         return pa.Table.from_pydict(rows, schema=schema)
 
-    made = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(number, "doc_id long, held_out boolean, n_words long, n_known long, log_counts double, classes binary, train_docs long, class_tokens array<long>, class_words array<long>")
+    made = blocks.drop("words").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(number, "doc_id long, held_out boolean, n_words long, n_known long, log_counts double, classes binary, train_docs long, class_tokens array<long>, class_words array<long>")
     return materialize(made, "sequences")
 
 
