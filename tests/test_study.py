@@ -14,7 +14,7 @@ from tidemark.plans import study
 
 GIVEN = {
     "sources": [{"path": "bars.csv", "timeframe": "5m"}], "timeframes": ["5m", "15m", "1D"], "ema_periods": [2, 5, 9], "sma_periods": [2, 5, 9],
-    "compression_percentile_lookback": 50, "forward_horizons_minutes": [15, 60], "expansion_thresholds_pips": [2, 5],
+    "compression_percentile_lookback": 50, "consolidation_windows": [3, 6], "crossover_windows": [3, 6], "forward_horizons_minutes": [15, 60], "expansion_thresholds_pips": [2, 5],
     "step2": {"thresholds_pips": [2], "horizons_minutes": [15], "control_purge_minutes": 15}, "output_dir": "anywhere",
 }
 
@@ -33,14 +33,16 @@ def test_derived_settings():
     cfg = config.from_dict(GIVEN, "/data")
     assert cfg.active_timeframes == ["5m", "15m"] and cfg.timeframe_pairs == [("5m", "15m")] and cfg.shift == 0
     assert cfg.base_source.path == "/data/bars.csv" and cfg.points_per_pip == 10
-    full = {k: v for k, v in GIVEN.items() if k not in ("ema_periods", "sma_periods")} | {"ema_periods": [1, 300], "sma_periods": [1, 300]}
-    assert config.from_dict(full).warmup_bars == 329
+    twenty = [1, *range(17, 300, 16)][:19] + [300]
+    cfg = config.from_dict({"sources": GIVEN["sources"], "ema_periods": twenty, "sma_periods": twenty})
+    assert cfg.warmup_bars == 329 and len(study.dictionary(cfg).names) == 2259
+    assert sum(len(study.outcome_names(h, cfg.expansion_thresholds_pips)) for h in cfg.forward_horizons_minutes) == 150
 
 
 @pytest.mark.parametrize(
     "change",
-    [{"pip_size": 0}, {"base_timeframe": "1h"}, {"timeframes": ["5m", "7m"]}, {"ema_periods": []}, {"ema_periods": [5, 2]}, {"ema_periods": [0, 2]}, {"indicator_shift": 1}, {"primary_slope_lookback": 4},
-     {"compression_percentile_threshold": 0.7}, {"crossover_windows": []}, {"cross_tf_mode": "none"}, {"cross_tf_mode": "selected_pairs"}, {"forward_horizons_minutes": [7]}, {"sources": []},
+    [{"pip_size": 0}, {"base_timeframe": "1h"}, {"timeframes": ["5m", "7m"]}, {"ema_periods": [], "sma_periods": []}, {"indicator_shift": 0}, {"price_basis": "renko"}, {"outcome_price_basis": "heikin_ashi"}, {"step2": {"purge": 3}}, {"wide_per_indicator_features": ["x"]}, {"ema_periods": [5, 2]}, {"ema_periods": [0, 2]}, {"indicator_source_shift_bars": 1}, {"primary_slope_lookback": 4},
+     {"compression_percentile_threshold": 1.0}, {"crossover_windows": []}, {"cross_tf_mode": "none"}, {"cross_tf_mode": "selected_pairs"}, {"forward_horizons_minutes": [7]}, {"sources": []},
      {"sources": [{"path": "a", "timeframe": "1m"}]}, {"step2": {"directions": ["left"]}}],
 )
 def test_settings_that_cannot_be_run_are_refused(change):
@@ -63,9 +65,11 @@ def test_command_line_end_to_end(spark, tmp_path, capsys):
     out, given = str(tmp_path / "out"), ["--config", str(tmp_path / "study.yaml"), "--outdir", str(tmp_path / "out")]
     with pytest.raises(SystemExit, match="run `python -m tidemark features`"):
         main(["events", *given], spark)
-    for step in ("features", "events", "compare", "checkpoint"):
+    main(["features", *given, "--causality-rows", "200"], spark)
+    for step in ("events", "compare", "checkpoint"):
         main([step, *given], spark)
     cfg = config.load(given[1])
+    assert spark.read.parquet(f"{out}/verdict").count() == 2 and spark.read.parquet(f"{out}/crossings_5m").count() > 0
     made, base = spark.read.parquet(f"{out}/features"), spark.read.parquet(f"{out}/bars")
     assert made.count() == base.count() == 400 and set(study.dictionary(cfg).names) == set(made.columns) - {"symbol", "c_t"}
     # a matrix built without the later bars holds the same rows
@@ -75,8 +79,13 @@ def test_command_line_end_to_end(spark, tmp_path, capsys):
     assert set(outcomes.columns) == {"symbol", "c_t", *(n for h in (15, 60) for n in study.outcome_names(h, (2, 5)))}
     events, controls = spark.read.parquet(f"{out}/events"), spark.read.parquet(f"{out}/controls")
     starts = {(r.direction, r.c_t) for r in events.collect()}
-    assert starts and events.where("not hit").count() == 0
-    assert all(abs(r.control_t - t) > 15 * 60 for r in controls.collect() for d, t in starts if d == r.direction)
+    assert starts and events.where("not hit").count() == 0 and {r.control_type for r in controls.collect()} == {"matched", "random"}
+    ends = [(r.direction, r.start, r.end) for r in events.collect()]
+    # neither a look ahead into an episode nor the time it is still felt
+    assert all(not a - 15 * 60 - 15 * 60 <= r.control_t < b + 15 * 60 for r in controls.collect() for d, a, b in ends if d == r.direction)
+    reasons = {r.reason: r.rows for r in spark.read.parquet(f"{out}/exclusions").where("direction = 'up'").collect()}
+    assert sum(reasons.values()) == 400 and reasons["feature_row_invalid"] == sum(not r.feature_row_valid for r in spark.read.parquet(f"{out}/alignment").collect())
+    assert spark.read.parquet(f"{out}/lookahead").where("violations > 0 or status <> 'ok'").count() == 0
     assert {r.direction: r.episodes for r in spark.read.parquet(f"{out}/comparisons").collect()}["up"] == sum(d == "up" for d, _ in starts)
     assert json.loads((tmp_path / "out" / "manifest.json").read_text())["tables"]["features"]["rows"] == 400
     capsys.readouterr()

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
+from tidemark.operators import features as X
+from tidemark.operators import matrix as M
+from tidemark.operators import studies as S
 from tidemark.operators import ticks as T
 from tidemark.operators import validation as V
 from tidemark.plans import study
@@ -48,39 +51,96 @@ def features(spark: SparkSession, args: argparse.Namespace) -> None:
     base = keep(study.base_bars(spark, cfg), args.outdir, "bars", tables)
     seconds = config.MINUTES[cfg.base_timeframe] * 60
     keep(V.integrity(base, study.KEYS, "t", seconds), args.outdir, "integrity", tables)
+    keep(study.quality_report(base, cfg), args.outdir, "source_quality", tables)
+    rows = A.materialize(study.aligned(base, cfg), "aligned")
+    mapped = keep(study.alignment(rows, cfg), args.outdir, "alignment", tables)
+    looked = keep(study.lookahead(mapped, cfg), args.outdir, "lookahead", tables)
+    if not looked.where("violations > 0").isEmpty():
+        raise SystemExit("a source bar closed after its decision: see the table lookahead")
     documented = study.dictionary(cfg)
-    made = keep(study.feature_matrix(base, cfg), args.outdir, "features", tables)
+    made = keep(M.matrix(rows, cfg, [*study.KEYS, "c_t"]), args.outdir, "features", tables)
     documented.check(made, [*study.KEYS, "c_t"])
     keep(documented.table(spark), args.outdir, "dictionary", tables)
     keep(study.outcomes(base, cfg), args.outdir, "outcomes", tables)
-    warnings = [] if tables["bars"]["rows"] > cfg.warmup_bars else [f"fewer bars than the warm-up of {cfg.warmup_bars}"]
-    write_text(spark, f"{args.outdir}/manifest.json", A.manifest(spark, cfg.to_dict(), {"base": cfg.base_source.path}, tables, {"features": time.time() - began}, warnings))
+    differing = A.same_keys({n: spark.read.parquet(f"{args.outdir}/{n}") for n in ("features", "outcomes", "alignment")}, "c_t").where("lacking > 0 or beyond > 0")
+    if not differing.isEmpty():
+        raise SystemExit("features, outcomes and alignment are not of the same times")
+    warnings = [] if mapped.where("feature_row_valid").head(1) else [f"no row is past the warm-up of {cfg.warmup_bars} bars"]
+    if args.causality_rows:
+        warnings += causality(base, cfg, args.causality_rows)
+    write_manifest(spark, args, cfg, tables, {"features": time.time() - began}, warnings)
+
+
+def causality(base: DataFrame, cfg: config.StudyConfig, rows: int) -> list[str]:
+    """Builds the matrix of the first rows twice, the second time with later prices moved; features known before must not differ."""
+    some = A.materialize(base.orderBy("c_t").limit(rows), "causality")
+    cut = some.agg(F.percentile_approx("c_t", 0.6)).first()[0]
+    moved = {c: F.col(c) + 500 + F.col("t") % 7 for c in ("open", "high", "low", "close")}
+    found = V.causality(lambda df: study.feature_matrix(df, cfg), some, "c_t", cut, study.KEYS, "c_t", moved).first()
+    if found.past_changed:
+        raise SystemExit(f"{found.past_changed} rows of features change with later prices")
+    return [] if found.future_changed else ["the causality check changed nothing: it says nothing"]
+
+
+def write_manifest(spark: SparkSession, args: argparse.Namespace, cfg: config.StudyConfig, tables: dict, seconds: dict, warnings: list[str]) -> None:
+    name = "manifest.json" if "features" in seconds else f"manifest_{next(iter(seconds))}.json"
+    write_text(spark, f"{args.outdir}/{name}", A.manifest(spark, cfg.to_dict(), {"base": cfg.base_source.path}, tables, seconds, warnings))
 
 
 def _labelled(spark: SparkSession, cfg: config.StudyConfig, outdir: str) -> DataFrame:
-    atr = artefact(spark, outdir, "features", "features").select(*study.KEYS, "c_t", f"{cfg.base_timeframe}__atr")
-    return study.labelled(study.context(atr.join(artefact(spark, outdir, "outcomes", "features"), [*study.KEYS, "c_t"]), cfg), cfg)
+    table = lambda name: artefact(spark, outdir, name, "features")
+    columns = sorted({cfg.volatility_column, cfg.compression_column})
+    rows = table("features").select(*study.KEYS, "c_t", *(F.col(f"`{c}`") for c in columns)).join(table("outcomes"), [*study.KEYS, "c_t"])
+    rows = rows.join(table("alignment").select(*study.KEYS, "c_t", "feature_row_valid", "source_quality_ok"), [*study.KEYS, "c_t"])
+    return study.labelled(study.context(rows, cfg), cfg)
 
 
 def events(spark: SparkSession, args: argparse.Namespace) -> None:
-    cfg, tables = config.load(args.config), {}
+    cfg, tables, began = config.load(args.config), {}, time.time()
     rows = keep(_labelled(spark, cfg, args.outdir), args.outdir, "labelled", tables)
+    keep(study.exclusions(rows, study.STRATUM), args.outdir, "exclusions", tables)
     found = keep(study.episodes(rows, cfg), args.outdir, "events", tables)
-    matched = keep(study.controls(rows, found, cfg), args.outdir, "controls", tables)
-    warned = keep(study.run_warnings(found, matched, study.STRATUM, cfg.step2.controls_per_event), args.outdir, "warnings", tables)
-    write_text(spark, f"{args.outdir}/events.md", f"# Warnings\n\n{A.markdown(warned.orderBy(*study.STRATUM, 'warning'))}")
+    failed = keep(study.failed_compressions(rows, cfg), args.outdir, "failed_compressions", tables)
+    pool = keep(study.control_pool(rows, found, cfg), args.outdir, "pool", tables)
+    matched = keep(study.controls(pool, found, cfg), args.outdir, "controls", tables)
+    reports = {
+        "pool_counts": study.pool_counts(rows, pool), "overlap": study.overlap_report(rows, found), "event_counts": study.event_counts(found, failed, matched),
+        "matches": study.match_report(found, matched), "balance": study.balance(rows, found, matched, cfg), "warnings": study.run_warnings(found, matched.where("control_type = 'matched'"), study.STRATUM, cfg.step2.controls_per_event),
+    }
+    made = {name: keep(table, args.outdir, name, tables) for name, table in reports.items()}
+    write_text(spark, f"{args.outdir}/events.md", report("Events", made))
+    write_manifest(spark, args, cfg, tables, {"events": time.time() - began}, [f"{r.warning}: {r.value}" for r in made["warnings"].limit(200).collect()])
+
+
+def report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
+    """Small tables under their names, in order of all their columns that can be ordered."""
+    plain = lambda df: [c for c, kind in df.dtypes if not kind.startswith(("map", "array"))]
+    return f"# {title}\n\n" + "\n".join(f"## {name.replace('_', ' ')}\n\n{A.markdown(df.orderBy(*plain(df)), most)}" for name, df in tables.items())
 
 
 def compare(spark: SparkSession, args: argparse.Namespace) -> None:
-    tables, rows = {}, artefact(spark, args.outdir, "labelled", "events")
-    out = keep(study.comparisons(rows, artefact(spark, args.outdir, "events", "events"), artefact(spark, args.outdir, "controls", "events")), args.outdir, "comparisons", tables)
-    write_text(spark, f"{args.outdir}/comparisons.md", f"# Episodes and controls\n\n{A.markdown(out.orderBy(*study.STRATUM))}")
+    cfg, tables, began, rows = config.load(args.config), {}, time.time(), artefact(spark, args.outdir, "labelled", "events")
+    found, matched = artefact(spark, args.outdir, "events", "events"), artefact(spark, args.outdir, "controls", "events")
+    made = {"comparisons": keep(study.comparisons(rows, found, matched, cfg.step3a.distribution_quantiles), args.outdir, "comparisons", tables)}
+    for by in ("session", "horizon", "threshold", "compression_state"):
+        made[f"by_{by}"] = keep(study.breakdown(found, by), args.outdir, f"by_{by}", tables)
+    write_text(spark, f"{args.outdir}/comparisons.md", report("Episodes and controls", made))
+    write_manifest(spark, args, cfg, tables, {"compare": time.time() - began}, [])
 
 
 def checkpoint(spark: SparkSession, args: argparse.Namespace) -> None:
-    cfg, tables = config.load(args.config), {}
-    out = keep(study.state_rates(artefact(spark, args.outdir, "features", "features"), artefact(spark, args.outdir, "labelled", "events"), cfg), args.outdir, "states", tables)
-    write_text(spark, f"{args.outdir}/states.md", f"# States\n\n{A.markdown(out.orderBy(*study.STRATUM, 'state'), 400)}")
+    cfg, tables, began = config.load(args.config), {}, time.time()
+    rows, base = artefact(spark, args.outdir, "labelled", "events"), artefact(spark, args.outdir, "bars", "features")
+    states = keep(study.state_rates(artefact(spark, args.outdir, "features", "features"), rows, cfg), args.outdir, "states", tables)
+    made = {"verdict": keep(S.ladder_verdict(states, study.STRATUM), args.outdir, "verdict", tables), "states": states}
+    held, events_, pool = cfg.day2_checkpoint, artefact(spark, args.outdir, "events", "events"), rows.where("reason is null")
+    keep(S.random_in_context(events_, pool.join(events_.select(*study.STRATUM, "c_t"), [*study.STRATUM, "c_t"], "left_anti"), study.cell(cfg), "c_t", held.random_context_controls, held.random_seed), args.outdir, "random_context", tables)
+    for tf in held.crossover_timeframes or cfg.active_timeframes:
+        crossed = A.materialize(study.crossings(base, cfg, tf, held.crossover_indicator_families), "crossings")
+        for name, table in zip(("crossings", "crossing_pairs", "crossing_sessions"), X.crossing_report(crossed, study.KEYS, held.crossover_episode_gap_bars * config.MINUTES[tf] * 60), strict=True):
+            made[f"{name}_{tf}"] = keep(table, args.outdir, f"{name}_{tf}", tables)
+    write_text(spark, f"{args.outdir}/states.md", report("States", made, 400))
+    write_manifest(spark, args, cfg, tables, {"checkpoint": time.time() - began}, [])
 
 
 def ticks(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -90,10 +150,10 @@ def ticks(spark: SparkSession, args: argparse.Namespace) -> None:
     quality = keep(text.field_quality(rows), args.outdir, "field_quality", tables)
     fine = rows.where("epoch_ms is not null").withColumn("symbol", F.lit(args.symbol))
     keep(T.duplicates(fine, "epoch_ms", ["epoch_ms", "bid", "ask", "last", "volume", "flags"]), args.outdir, "duplicates", tables)
-    book = T.quote_book(fine, ["symbol"], ["file", "block", "row"], "epoch_ms", "bid", "ask").where("bid_now is not null and ask_now is not null")
+    book = T.quote_book(fine, ["symbol"], ["row"], "epoch_ms", "bid", "ask", "row", text.PER_TASK).where("bid_now is not null and ask_now is not null")
     keep(book.withColumn("stale", T.stale("epoch_ms", args.stale_side_ms)).groupBy((F.col("ask_now") - F.col("bid_now")).alias("spread"), "stale").count(), args.outdir, "spreads", tables)
-    keep(T.step_topk(fine.where("bid is not null"), ["symbol"], ["file", "block", "row"], "bid", 200), args.outdir, "jumps", tables)
-    keep(T.step_topk(fine, ["symbol"], ["file", "block", "row"], "epoch_ms", 200), args.outdir, "gaps", tables)
+    keep(T.step_topk(fine.where("bid is not null"), ["symbol"], "row", ["row"], "bid", 200, text.PER_TASK), args.outdir, "jumps", tables)
+    keep(T.step_topk(fine, ["symbol"], "row", ["row"], "epoch_ms", 200, text.PER_TASK), args.outdir, "gaps", tables)
     write_text(spark, f"{args.outdir}/ticks.md", f"# Ticks\n\n{A.markdown(quality.drop('examples'))}")
     write_text(spark, f"{args.outdir}/summary.json", json.dumps({"format": vars(form), "tables": tables}, indent=2, default=str))
 
@@ -127,6 +187,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--log-level", default="INFO")
         if step in (features, events, compare, checkpoint):
             one.add_argument("--config", required=True)
+    steps.choices["features"].add_argument("--causality-rows", type=int, default=0)
     tick, look = steps.choices["ticks"], steps.choices["explore"]
     tick.add_argument("path")
     tick.add_argument("--symbol", default="EURUSD")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: First hour of each session and its name.
-SESSIONS = ((0, "asia"), (8, "london"), (13, "overlap"), (17, "new_york"), (22, "late"))
+SESSIONS = ((0, "asia"), (8, "london"), (13, "london_ny_overlap"), (17, "new_york"), (22, "late"))
 
 
 def session_of(hour: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import safe_divide
+from tidemark.operators import blocks as K
 from tidemark.operators import rolling as R
 
 TIE = 1e-9
@@ -127,3 +129,42 @@ def average_kinds_crossed(ema: list[str], sma: list[str], w) -> Column:
     now = [side(F.col(e), F.col(s)) for e, s in zip(ema, sma, strict=True)]
     past = [side(F.lag(e).over(w), F.lag(s).over(w)) for e, s in zip(ema, sma, strict=True)]
     return _count([n * p < 0 for n, p in zip(now, past, strict=True)])
+
+
+def crossed_pairs(rows: DataFrame, keys: list[str], order: str, ema: tuple[int, ...], sma: tuple[int, ...], families: tuple[str, ...] = ("ema", "sma", "ema_vs_sma")) -> DataFrame:
+    """keys, c_t, family, fast, slow, direction (1 up, -1 down) of every pair that changed order since the row before, a touch counted as
+    before the turn. rows: keys, c_t, `order`, and x, an array that begins with the averages (ema, then sma)."""
+    pairs = []
+    if "ema" in families:
+        pairs += [("ema", a, b, ema[a], ema[b]) for a in range(len(ema)) for b in range(a + 1, len(ema))]
+    if "sma" in families:
+        pairs += [("sma", len(ema) + a, len(ema) + b, sma[a], sma[b]) for a in range(len(sma)) for b in range(a + 1, len(sma))]
+    if "ema_vs_sma" in families:
+        pairs += [("ema_vs_sma", ema.index(p), len(ema) + sma.index(p), p, p) for p in ema if p in sma]
+    table = F.from_json(F.lit(json.dumps([dict(zip(("family", "a", "b", "fast", "slow"), p, strict=True)) for p in pairs])), "array<struct<family: string, a: int, b: int, fast: int, slow: int>>")
+    held = K.previous(rows, keys, order, [order], {"__past": F.col("x")})
+    side = lambda x, p: F.signum(F.get(x, p["a"]) - F.get(x, p["b"]))
+    number = lambda x: F.when(~F.isnan(x), x)
+
+    def turned(p: Column) -> Column:
+        now, past = number(side(F.col("x"), p)), number(side(F.col("__past"), p))
+        direction = F.when((now > 0) & (past <= 0), 1).when((now < 0) & (past >= 0), -1)
+        return F.struct(p["family"].alias("family"), p["fast"].alias("fast"), p["slow"].alias("slow"), direction.alias("direction"))
+
+    hits = F.filter(F.transform(table, turned), lambda x: x["direction"].isNotNull())
+    return held.select(*keys, "c_t", F.inline(hits))
+
+
+def crossing_report(crossed: DataFrame, keys: list[str], gap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: per family and direction the pair events, distinct times and episodes; per pair its events; per session the distinct
+    times."""
+    from tidemark.functions.scalars import session_of
+    from tidemark.operators.studies import islands
+
+    group = [*keys, "family", "direction"]
+    times = crossed.groupBy(*group, "c_t").agg(F.count("*").alias("pairs"))
+    spans = islands(times, group, "c_t", gap).groupBy(*group).agg(F.sum("pairs").alias("events"), F.count("*").alias("times"), F.countDistinct("island").alias("episodes"))
+    spans = spans.withColumns({"pairs_per_time": F.round(F.col("events") / F.col("times"), 2), "times_per_episode": F.round(F.col("times") / F.col("episodes"), 2)})
+    by_pair = crossed.groupBy(*keys, "family", "fast", "slow", "direction").agg(F.count("*").alias("events"))
+    by_session = times.groupBy(*group, session_of(F.floor(F.col("c_t") / 3600) % 24).alias("session")).agg(F.count("*").alias("times"))
+    return spans, by_pair, by_session

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks as K
 
-def quote_book(ticks: DataFrame, keys: list[str], order: list[str], t: str, bid: str, ask: str) -> DataFrame:
-    """Carries each side forward: bid_now, ask_now, and the times of their last updates."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = lambda side, x: F.last(F.when(F.col(side).isNotNull(), x), ignorenulls=True).over(w)
-    return ticks.withColumns({"bid_now": held(bid, F.col(bid)), "ask_now": held(ask, F.col(ask)), "bid_t": held(bid, F.col(t)), "ask_t": held(ask, F.col(t))})
+
+def quote_book(ticks: DataFrame, keys: list[str], order: list[str], t: str, bid: str, ask: str, by: str | None = None, size: int = K.TIME) -> DataFrame:
+    """Carries each side forward: bid_now, ask_now, and the times of their last updates. Blocks are cut by `by` (t, if not named), which
+    must not run against `order` from one block to the next."""
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("now"), F.col(t).alias("at")))
+    out = K.carried(ticks, keys, by or t, order, {"__bid": side(bid), "__ask": side(ask)}, size)
+    made = {"bid_now": F.col("__bid.now"), "ask_now": F.col("__ask.now"), "bid_t": F.col("__bid.at"), "ask_t": F.col("__ask.at")}
+    return out.withColumns(made).drop("__bid", "__ask")
 
 
 def stale(t: str, limit: int) -> Column:
@@ -32,7 +36,7 @@ def duplicates(ticks: DataFrame, t: str, columns: list[str]) -> DataFrame:
     return same_time.crossJoin(same_row)
 
 
-def step_topk(ticks: DataFrame, keys: list[str], order: list[str], value: str, k: int) -> DataFrame:
+def step_topk(ticks: DataFrame, keys: list[str], t: str, order: list[str], value: str, k: int, size: int = K.TIME) -> DataFrame:
     """The k largest absolute changes of value from row to row."""
-    step = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    return ticks.withColumn("step", step).where("step is not null").orderBy(F.desc("step"), *keys, *order).limit(k)
+    steps = K.previous(ticks, keys, t, order, {"__past": F.col(value)}, size).withColumn("step", F.abs(F.col(value) - F.col("__past"))).drop("__past")
+    return steps.where("step is not null").orderBy(F.desc("step"), *keys, *order).limit(k)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import compression_state, floored, safe_divide, session_of
 from tidemark.operators import bars as B
+from tidemark.operators import blocks as K
 from tidemark.operators import rolling as R
 from tidemark.operators import studies as S
 from tidemark.operators import ticks as T
@@ -125,8 +126,8 @@ def lag_distribution(spark, sf_dir):
 
 @query(f"{_BASE} SELECT symbol, t, round({_full('avg(close)', 'close', 5)}, 6) AS sma_5, round({_full('avg(close)', 'close', 20)}, 6) AS sma_20 FROM bars")
 def sma(spark, sf_dir):
-    w = R.series(KEY)
-    return hourly(spark, sf_dir).select("symbol", "t", *(F.round(R.full("close", F.avg, w, n), 6).alias(f"sma_{n}") for n in (5, 20)))
+    made = lambda df, w: df.withColumns({f"sma_{n}": F.round(R.full("close", F.avg, w, n), 6) for n in (5, 20)})
+    return K.trailing(hourly(spark, sf_dir).select("symbol", "t", "close"), KEY, "t", 20, made).drop("close")
 
 
 @query(f"{_BASE} SELECT symbol, t, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, (close - lag(close, 3) OVER w) / 3.0 AS slope FROM bars {_W}")
@@ -147,8 +148,8 @@ _RANGE = f"r AS (SELECT symbol, t, high, low, close, {_full('max(high)', 'high',
 
 
 def ranges(spark, sf_dir):
-    w = R.series(KEY)
-    return hourly(spark, sf_dir).select("symbol", "t", "high", "low", "close", R.full("high", F.max, w, 12).alias("hi"), R.full("low", F.min, w, 12).alias("lo"))
+    made = lambda df, w: df.withColumns({"hi": R.full("high", F.max, w, 12), "lo": R.full("low", F.min, w, 12)})
+    return K.trailing(hourly(spark, sf_dir).select("symbol", "t", "high", "low", "close"), KEY, "t", 12, made)
 
 
 @query(f"{_BASE}, {_RANGE} SELECT symbol, t, hi - lo AS range, round((close - lo) / nullif(hi - lo, 0), 6) AS position, hi - close AS to_high, close - lo AS to_low FROM r")
@@ -162,7 +163,7 @@ _RANK = f"{_RANGE}, k AS (SELECT symbol, t, hi - lo AS range, list(hi - lo) FILT
 
 def ranked_ranges(spark, sf_dir):
     rows = ranges(spark, sf_dir).select("symbol", "t", (F.col("hi") - F.col("lo")).alias("range"))
-    return rows.withColumn("pct", R.percentile_rank("range", R.series(KEY), 50, 10))
+    return K.trailing(rows, KEY, "t", 50, lambda df, w: df.withColumn("pct", R.percentile_rank("range", w, 50, 10)))
 
 
 @query(f"{_BASE}, {_RANK} SELECT symbol, t, round(pct, 6) AS pct FROM ranked")
@@ -295,7 +296,7 @@ def first_touch(spark, sf_dir):
 
 
 _CONTEXT = "CAST(t // 3600 % 24 AS INT)"
-_SESSION = f"CASE WHEN {_CONTEXT} < 8 THEN 'asia' WHEN {_CONTEXT} < 13 THEN 'london' WHEN {_CONTEXT} < 17 THEN 'overlap' WHEN {_CONTEXT} < 22 THEN 'new_york' ELSE 'late' END"
+_SESSION = f"CASE WHEN {_CONTEXT} < 8 THEN 'asia' WHEN {_CONTEXT} < 13 THEN 'london' WHEN {_CONTEXT} < 17 THEN 'london_ny_overlap' WHEN {_CONTEXT} < 22 THEN 'new_york' ELSE 'late' END"
 
 
 def context(rows: DataFrame) -> DataFrame:
@@ -359,11 +360,12 @@ def separation_thinning(spark, sf_dir):
     return S.greedy_starts(hourly(spark, sf_dir).where(_WIDE), KEY, "t", 4 * HOUR, keep_equal=True)
 
 
-@query(f"{_BASE} SELECT symbol, t FROM bars b WHERE NOT EXISTS (SELECT 1 FROM bars e WHERE e.symbol = b.symbol AND e.high - e.low > 9500 AND b.t >= e.t - 7200 AND b.t < e.t + 3600)")
+@query(f"{_BASE} SELECT symbol, t FROM bars b WHERE NOT EXISTS (SELECT 1 FROM bars e WHERE e.symbol = b.symbol AND e.high - e.low > 9500 AND b.t >= e.t - 3600 - 7200 AND b.t < e.t + 1800 + 3600)")
 def purge_anti_join(spark, sf_dir):
+    """Bars away from wide ones: an hour of purge, two hours of looking ahead, and an event that lasts half an hour."""
     rows = hourly(spark, sf_dir)
-    spans = rows.where("high - low > 9500").select("symbol", (F.col("t") - 7200).alias("lo"), (F.col("t") + 3600).alias("hi"))
-    return S.outside(rows.select("symbol", "t"), spans, KEY, "t")
+    events = rows.where("high - low > 9500").select("symbol", F.col("t").alias("start"), (F.col("t") + 1800).alias("end"))
+    return S.outside(rows.select("symbol", "t"), S.purge_spans(events, KEY, "start", "end", HOUR, 2 * HOUR), KEY, "t")
 
 
 @query(f"{_BASE} SELECT symbol, count(*) AS pool FROM bars WHERE (symbol, t) NOT IN (SELECT symbol, t FROM bars WHERE {_WIDE}) GROUP BY symbol")
@@ -469,12 +471,12 @@ def duplicate_ticks(spark, sf_dir):
 
 @query(f"WITH {_TAPE}, j AS (SELECT symbol, event_id, ts, abs(p - lag(p) OVER (PARTITION BY symbol ORDER BY ts, event_id)) AS step FROM tape) SELECT symbol, event_id, step FROM j WHERE step IS NOT NULL ORDER BY step DESC, symbol, ts, event_id LIMIT 200")
 def jump_topk(spark, sf_dir):
-    return T.step_topk(tape(spark, sf_dir), KEY, ["ts", "event_id"], "p", 200).select("symbol", "event_id", "step")
+    return T.step_topk(tape(spark, sf_dir), KEY, "s", ["ts", "event_id"], "p", 200).select("symbol", "event_id", "step")
 
 
 @query(f"WITH {_TAPE}, j AS (SELECT symbol, event_id, ts, abs(s - lag(s) OVER (PARTITION BY symbol ORDER BY ts, event_id)) AS step FROM tape) SELECT symbol, event_id, step FROM j WHERE step IS NOT NULL ORDER BY step DESC, symbol, ts, event_id LIMIT 200")
 def gap_topk(spark, sf_dir):
-    return T.step_topk(tape(spark, sf_dir), KEY, ["ts", "event_id"], "s", 200).select("symbol", "event_id", "step")
+    return T.step_topk(tape(spark, sf_dir), KEY, "s", ["ts", "event_id"], "s", 200).select("symbol", "event_id", "step")
 
 
 @query(f"WITH {_TAPE} SELECT symbol, s // 86400 AS day, count(*) AS n, min(s) AS first_s, max(s) AS last_s, median(p) AS median_p, quantile_disc(p, 0.95) AS p95 FROM tape GROUP BY 1, 2")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BAR_COLUMNS = ("DATE", "TIME", "OPEN", "HIGH", "LOW", "CLOSE", "TICKVOL", "VOL", "SPREAD")
 TICK_COLUMNS = ("DATE", "TIME", "BID", "ASK", "LAST", "VOLUME", "FLAGS")
 FLAGS = {2: "bid", 4: "ask", 8: "last", 16: "volume", 32: "buy", 64: "sell"}
+#: Rows of one input split have numbers in one range of this width, in the order of the file.
+PER_TASK = 1 << 33
 _CORRUPT = "__malformed"
 _DATE = r"^\d{4}\.(0[1-9]|1[0-2])\.(0[1-9]|[12]\d|3[01])$"
 
