@@ -25,9 +25,14 @@ from tidemark.config import StudyConfig
 from tidemark.operators import blocks as K
 from tidemark.operators.dictionary import Feature
 from tidemark.operators.rolling import exponential
+from tidemark.sources import artefacts as A
 
 #: An average's past beyond so many time constants is below double precision.
 TIME_CONSTANTS = 40
+#: Bars of a block, if four times what overlaps is not more.
+ROWS = 1 << 14
+#: How features travel between passes.
+WIRE = {"float": "<f4", "double": "<f8"}
 BARS = ("open", "high", "low", "close", "spread", "coverage")
 
 
@@ -258,9 +263,9 @@ def depth(cfg: StudyConfig) -> int:
     return int(np.ceil(TIME_CONSTANTS * slowest)) + window + cfg.compression_percentile_lookback + 2 * max(cfg.consolidation_windows) + cfg.shift
 
 
-def of_timeframe(bars: DataFrame, cfg: StudyConfig, timeframe: str, keys: list[str], size: int = K.ROWS) -> DataFrame:
-    """keys, c_t, n, x (numbers for features between timeframes), v (features), last (places of the last flags in the block, null before
-    any) of bars (keys, t, c_t and BARS)."""
+def of_timeframe(bars: DataFrame, cfg: StudyConfig, timeframe: str, keys: list[str], size: int = ROWS, kind: str = "float") -> DataFrame:
+    """keys, c_t, n, x (numbers for features between timeframes), v (the bytes of all features as `kind`, which move faster than lists),
+    last (places of the last flags in the block, -1 before any) of bars (keys, t, c_t and BARS)."""
     out, _ = K.overlapped(K.numbered(bars, keys, "t"), keys, "__n", depth(cfg), 0, size)
     columns, kinds = [*keys, "c_t"], {f.name: f.dataType.simpleString() for f in bars.schema.fields}
 
@@ -273,15 +278,15 @@ def of_timeframe(bars: DataFrame, cfg: StudyConfig, timeframe: str, keys: list[s
         last = [np.maximum.accumulate(np.where(flag, n, -1)) for flag in made.flags]
         held = group.loc[own, columns].reset_index(drop=True)
         held["n"] = n[own]
-        held["x"], held["v"] = list(x[own]), list(made.table()[own].astype(np.float32))
+        held["x"], held["v"] = list(x[own]), [row.tobytes() for row in made.table()[own].astype(WIRE[kind])]
         held["last"] = list(np.stack(last, axis=1)[own]) if last else [[]] * int(own.sum())
         return held
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n long, x array<double>, v array<float>, last array<long>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n long, x array<double>, v binary, last array<long>"
     return out.groupBy(*keys, K.BLOCK).applyInPandas(run, schema)
 
 
-def with_carries(made: DataFrame, keys: list[str], size: int = K.ROWS) -> DataFrame:
+def with_carries(made: DataFrame, keys: list[str], size: int = ROWS) -> DataFrame:
     """made (a table of of_timeframe) with the places of the last flags taken from earlier blocks where a block has none (-1: never)."""
     rows = made.withColumn(K.BLOCK, K.block_of(F.col("n"), size))
     ends = rows.groupBy(*keys, K.BLOCK).agg(F.max_by("last", "n").alias("__past"))
@@ -291,6 +296,23 @@ def with_carries(made: DataFrame, keys: list[str], size: int = K.ROWS) -> DataFr
     return rows.withColumn("last", F.zip_with("last", "__past", lambda a, b: F.greatest(a, b))).drop(K.BLOCK, "__past")
 
 
+def single(bars: DataFrame, cfg: StudyConfig, keys: list[str], names: list[str], size: int = ROWS) -> DataFrame:
+    """keys, c_t and the named features of the base timeframe alone, as double."""
+    made = A.materialize(of_timeframe(bars, cfg, cfg.base_timeframe, keys, size, "double"), "single")
+    columns = described(cfg)[0][cfg.base_timeframe]
+    place = {f.name.split("__", 1)[1]: i for i, f in enumerate(columns.features)}
+    kinds = {f.name: f.dataType.simpleString() for f in made.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _unpacked(batch.column("v"), len(columns.features), "double")
+            v = _finished(columns, batch.column("n").to_numpy().astype(float), v, _rows(batch.column("last"), len(columns.since)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, "c_t")), *(pa.array(np.ascontiguousarray(v[:, place[n]]), from_pandas=True) for n in names)], names=[*keys, "c_t", *names])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, "c_t")), *(f"`{n}` double" for n in names)])
+    return with_carries(made, keys, size).select(*keys, "c_t", "n", "v", "last").mapInArrow(run, schema)
+
+
 def _finished(made: Columns, n: np.ndarray, v: np.ndarray, last: np.ndarray) -> np.ndarray:
     """v with the bars since the flags."""
     for i, (at, run) in enumerate(made.since):
@@ -376,6 +398,13 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _unpacked(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    """Rows of numbers out of their bytes, NaN where the column is null."""
+    out, there = np.full((len(column), width), np.nan, WIRE[kind]), np.asarray(column.is_valid())
+    out[there] = np.frombuffer(b"".join(column.drop_null().to_pylist()), WIRE[kind]).reshape(-1, width)
+    return out
+
+
 def matrix(aligned: DataFrame, cfg: StudyConfig, keys: list[str]) -> DataFrame:
     """keys and every feature as float. aligned: keys and a struct n, x, v, last for each timeframe, null where no bar has closed."""
     columns, extra = described(cfg)
@@ -393,7 +422,7 @@ def matrix(aligned: DataFrame, cfg: StudyConfig, keys: list[str]) -> DataFrame:
                     for tf, made in columns.items():
                         n, x_, v_, last = (pc.struct_field(batch.column(tf), f) for f in ("n", "x", "v", "last"))
                         x[tf] = _rows(x_, numbers)
-                        v[tf] = _finished(made, n.to_numpy(zero_copy_only=False).astype(float), _rows(v_, len(made.features)), _rows(last, len(made.since)))
+                        v[tf] = _finished(made, n.to_numpy(zero_copy_only=False).astype(float), _unpacked(v_, len(made.features), "float"), _rows(last, len(made.since)))
                     cross = between(cfg, columns, v, x).table()
                 table = np.concatenate([*v.values(), cross], axis=1).astype(np.float32)
                 values = [pa.array(np.ascontiguousarray(table[:, i]), pa.float32(), from_pandas=True) for i in range(table.shape[1])]

@@ -253,3 +253,17 @@ def random_in_context(events: DataFrame, pool: DataFrame, cell: list[str], pool_
     shares = events.groupBy(*cell).agg(F.count("*").alias("n")).withColumn("want", F.bround(F.col("n") / F.sum("n").over(everything) * total).cast("long"))
     ranked = pool.withColumn("__r", F.row_number().over(Window.partitionBy(*cell).orderBy(seeded(seed, pool_t), pool_t)))
     return ranked.join(shares.drop("n"), cell).where(F.col("__r") <= F.col("want")).drop("__r", "want")
+
+
+def first_reason(tests: dict[str, Column]) -> Column:
+    """The name of the first test that holds, in their order; null if none does."""
+    out = F.lit(None).cast("string")
+    for name, test in reversed(tests.items()):
+        out = F.when(test, name).otherwise(out)
+    return out
+
+
+def breakdown(events: DataFrame, by: str, measures: list[str]) -> DataFrame:
+    """Numbers and means by one column, as text so that breakdowns can stand under one another."""
+    means = [F.round(F.avg(F.col(c).cast("double")), 6).alias(f"mean_{c}") for c in measures]
+    return events.groupBy(F.col(by).cast("string").alias("value")).agg(F.count("*").alias("n"), *means).select(F.lit(by).alias("by"), "*")

@@ -40,3 +40,72 @@ def step_topk(ticks: DataFrame, keys: list[str], t: str, order: list[str], value
     """The k largest absolute changes of value from row to row."""
     steps = K.previous(ticks, keys, t, order, {"__past": F.col(value)}, size).withColumn("step", F.abs(F.col(value) - F.col("__past"))).drop("__past")
     return steps.where("step is not null").orderBy(F.desc("step"), *keys, *order).limit(k)
+
+
+def weeks(ticks: DataFrame, t: str) -> DataFrame:
+    """week (from Monday), first and last time, ticks; times in seconds of the file's clock."""
+    week = F.floor((F.floor(F.col(t) / 86400) + 3) / 7).cast("long")
+    return ticks.groupBy(week.alias("week")).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n"))
+
+
+#: Shares in per cent, hours and weeks of the rules on the clock.
+CONSISTENT_PCT, LATE_HOUR, ENOUGH_WEEKS, EXACT_PCT = 95.0, 22, 20, 99.0
+
+
+def clock_verdict(sessions: DataFrame, turns: DataFrame, exact_pct: DataFrame, documented: bool = False) -> DataFrame:
+    """One row on whether the clock is New York's plus seven hours: weeks, shares that open on Monday and close on Friday, the commonest
+    hours of both, weeks with a change of New York's clock and those of them that open on Monday, the share of bars that ticks rebuild
+    exactly, and the verdict. sessions: weeks(); turns: week; exact_pct: one row with exact_pct."""
+    weekday, hour = (lambda c: (F.floor(F.col(c) / 86400) + 3) % 7), (lambda c: F.floor(F.col(c) / 3600) % 24)
+    rows = sessions.join(turns.select(F.col("week").alias("__turn")).distinct(), F.col("week") == F.col("__turn"), "left")
+    monday, friday, turn = weekday("first") == 0, weekday("last") == 4, F.col("__turn").isNotNull()
+    one = rows.agg(
+        F.count("*").alias("weeks"), F.round(100 * F.avg(monday.cast("int")), 2).alias("pct_open_monday"), F.round(100 * F.avg(friday.cast("int")), 2).alias("pct_close_friday"), F.mode(hour("first"), True).alias("open_hour"),
+        F.mode(hour("last"), True).alias("close_hour"), F.count_if(turn).alias("turn_weeks"), F.count_if(turn & monday).alias("turn_weeks_monday"),
+    ).crossJoin(exact_pct.agg(F.max("exact_pct").alias("exact_pct")))
+    consistent = (F.col("pct_open_monday") >= CONSISTENT_PCT) & (F.col("pct_close_friday") >= CONSISTENT_PCT) & (F.col("open_hour") == 0) & (F.col("close_hour") >= LATE_HOUR)
+    agrees, stable = F.coalesce(F.col("exact_pct") >= EXACT_PCT, F.lit(False)), F.col("turn_weeks") == F.col("turn_weeks_monday")
+    verdict = F.when(F.col("weeks") == 0, "INCONCLUSIVE").when(F.lit(documented), "CONFIRMED").when(consistent & stable & agrees, "STRONGLY SUPPORTED").when(consistent, "INCONCLUSIVE").when(F.col("weeks") >= ENOUGH_WEEKS, "CONTRADICTED").otherwise("INCONCLUSIVE")
+    return one.withColumn("verdict", verdict)
+
+
+def rebuilt(book: DataFrame, keys: list[str], t: str, order: list[str], seconds: int, shift: int = 0) -> DataFrame:
+    """Bars of the carried bid (rows before any bid left out): t, open, high, low, close, n. shift: seconds by which the ticks' clock is
+    behind the bars'."""
+    from tidemark.operators.bars import resample
+
+    moved = book.where("bid_now is not null").withColumn("__t", F.col(t) + shift)
+    return resample(moved, keys, "__t", order, "bid_now", seconds)
+
+
+def compared(bars: DataFrame, ours: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: the export's bars, those that ticks cover, and the share of those in per cent whose prices agree, one by one and all."""
+    prices = ("open", "high", "low", "close")
+    theirs = bars.select(*keys, "t", *(F.col(c).alias(f"__{c}") for c in prices))
+    both = theirs.join(ours.select(*keys, "t", *prices), [*keys, "t"], "left")
+    same, there = {c: F.col(c) == F.col(f"__{c}") for c in prices}, F.col("close").isNotNull()
+    pct = lambda test: F.round(100 * F.avg(F.when(there, test.cast("int"))), 4)
+    whole = same["open"] & same["high"] & same["low"] & same["close"]
+    return both.agg(F.count("*").alias("bars"), F.count_if(there).alias("covered"), F.round(100 * F.avg(there.cast("int")), 4).alias("covered_pct"), *(pct(x).alias(f"exact_{c}") for c, x in same.items()), pct(whole).alias("exact_pct"))
+
+
+#: Fixed values of the rules on readiness: days of a tail without ticks, per cent of coverage and of exact bars, per cent of crossed quotes.
+TAIL_DAYS, COVERED_PCT, READY_PCT, CROSSED_PCT = 0.5, 99.0, 95.0, 0.01
+
+
+def readiness(facts: DataFrame) -> DataFrame:
+    """kind (blocker or concern), finding, value of every rule that holds, and a last row with the recommendation. facts: one row with
+    tail_days, covered_pct, out_of_order, crossed, quotes, duplicates, mismatches, stale, exact_pct, clock, missing_bars."""
+    crossed = F.coalesce(F.try_divide(100 * F.col("crossed"), F.col("quotes")), F.lit(0.0))
+    rules = [
+        ("blocker", "out_of_order", F.col("out_of_order") > 0, F.col("out_of_order")), ("blocker", "crossed_quotes", (F.col("crossed") > 0) & (crossed >= CROSSED_PCT), F.col("crossed")),
+        ("blocker", "bars_not_rebuilt", F.coalesce(F.col("exact_pct") < READY_PCT, F.lit(True)), F.col("exact_pct")), ("blocker", "clock_contradicted", F.col("clock") == "CONTRADICTED", F.lit(None)),
+        ("concern", "tail_without_ticks", F.col("tail_days") > TAIL_DAYS, F.col("tail_days")), ("concern", "partial_overlap", F.col("covered_pct") < COVERED_PCT, F.col("covered_pct")),
+        ("concern", "few_crossed_quotes", (F.col("crossed") > 0) & (crossed < CROSSED_PCT), F.col("crossed")), ("concern", "exact_duplicates", F.col("duplicates") > 0, F.col("duplicates")),
+        ("concern", "flags_disagree", F.col("mismatches") > 0, F.col("mismatches")), ("concern", "stale_sides", F.col("stale") > 0, F.col("stale")), ("concern", "bars_without_ticks", F.col("missing_bars") > 0, F.col("missing_bars")),
+        ("concern", "clock_undocumented", F.col("clock") != "CONFIRMED", F.lit(None)),
+    ]
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("finding"), value.cast("double").alias("value"))) for kind, name, test, value in rules)))
+    blockers = F.size(F.filter("found", lambda x: x["kind"] == "blocker"))
+    last = F.struct(F.lit("recommendation").alias("kind"), F.when(blockers > 1, "REQUEST DIFFERENT DATA").otherwise("GO WITH CONDITIONS").alias("finding"), blockers.cast("double").alias("value"))
+    return facts.select(found.alias("found")).select(F.inline(F.concat("found", F.array(last))))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.dictionary import Feature, FeatureDictionary
 from tidemark.plans import study
-from tidemark.plans.features import timeframe
+from tidemark.plans.features import _HOUR, timeframe
 from tidemark.plans.queries import SQL, context, hourly, query
 from tidemark.plans.queries import matched_controls as controls_of_wide_bars
 
@@ -24,7 +24,7 @@ _DOCUMENTED = {"score": "order", "entangled": "order", "width_atr": "ribbon", "s
 _HELD = " UNION ALL ".join(f"SELECT '{n}' AS name, '{f}' AS family, count({n}) AS present, round(min({n}), 5) AS least, round(max({n}), 5) AS most FROM f" for n, f in _DOCUMENTED.items())
 
 
-@query(f"WITH f AS ({SQL['timeframe_features']}) {_HELD}")
+@query(f"{_HOUR}, f AS (SELECT {', '.join(_DOCUMENTED)} FROM one_f) {_HELD}")
 def feature_dictionary(spark, sf_dir):
     """The documented features beside what the matrix holds of each: one aggregate and a small join."""
     documented = FeatureDictionary(Feature(n, "1h", f, "share", n) for n, f in _DOCUMENTED.items())

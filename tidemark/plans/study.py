@@ -163,11 +163,12 @@ def labelled(rows: DataFrame, cfg: StudyConfig) -> DataFrame:
     cells, held = [], cfg.step2
     for d, x, h in held.strata:
         other, tag = "down" if d == "up" else "up", f"{x:g}p_{h}m"
-        tests = (
-            ~F.col("feature_row_valid"), ~F.col(f"horizon_complete_{h}m") if held.require_complete_horizon else F.lit(False), F.col(f"bars_in_window_{h}m") <= 0 if held.require_observed_bars else F.lit(False),
-            F.col(f"max_future_delta_pips_{h}m").isNull(), ~F.col("source_quality_ok") if held.require_source_quality else F.lit(False), F.col(f"expansion_first_{tag}") == 2 if held.exclude_ambiguous_first_touch else F.lit(False),
-        )
-        reason = reduce(lambda out, pair: F.when(pair[0], pair[1]).otherwise(out), list(zip(tests, REASONS, strict=True))[::-1], F.lit(None).cast("string"))
+        no = F.lit(False)
+        tests = dict(zip(REASONS, (
+            ~F.col("feature_row_valid"), ~F.col(f"horizon_complete_{h}m") if held.require_complete_horizon else no, F.col(f"bars_in_window_{h}m") <= 0 if held.require_observed_bars else no,
+            F.col(f"max_future_delta_pips_{h}m").isNull(), ~F.col("source_quality_ok") if held.require_source_quality else no, F.col(f"expansion_first_{tag}") == 2 if held.exclude_ambiguous_first_touch else no,
+        ), strict=True))
+        reason = S.first_reason(tests)
         cells.append(F.struct(
             F.lit(d).alias("direction"), F.lit(float(x)).alias("threshold"), F.lit(h).alias("horizon"), reason.alias("reason"), F.col(f"expansion_{d}_{tag}").alias("hit"), F.col(f"expansion_{other}_{tag}").alias("opposite"),
             F.col(f"expansion_first_{tag}").alias("first_touch"), F.col(f"time_to_expansion_{d}_{tag}").alias("minutes_to_threshold"), F.col(f"max_future_delta_pips_{h}m").alias("max_up"), F.col(f"min_future_delta_pips_{h}m").alias("max_down"), F.col(f"fwd_pips_{h}m").alias("fwd_pips"),
@@ -266,7 +267,7 @@ def comparisons(rows: DataFrame, events: DataFrame, matched: DataFrame, quantile
 
 def breakdown(events: DataFrame, by: str) -> DataFrame:
     """Episodes and their moves by one column."""
-    return events.groupBy(F.col(by).cast("string").alias("value")).agg(F.count("*").alias("episodes"), F.avg("fwd_pips").alias("mean_fwd_pips"), F.median("max_up").alias("median_max_up"), F.median("max_down").alias("median_max_down"), F.avg(F.col("opposite").cast("int")).alias("opposite_rate")).select(F.lit(by).alias("by"), "*")
+    return S.breakdown(events, by, ["fwd_pips", "max_up", "max_down", "opposite"])
 
 
 def balance(rows: DataFrame, events: DataFrame, matched: DataFrame, cfg: StudyConfig) -> DataFrame:
