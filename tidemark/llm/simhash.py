@@ -223,7 +223,7 @@ def near_dedup(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_co
         a, b = shard_links(bits.view(np.uint64), group["home"].to_numpy(), radius)
         return pd.DataFrame({"a": bits[a], "b": bits[b]})
 
-    tables, tasks = sharded(classes, radius, shard_rows), max(1, -(-classes.count() // shard_rows))
+    tables, tasks = sharded(classes, radius, shard_rows), 4 * max(1, -(-classes.count() // shard_rows))  # so that few shards share a task
     found = [table.repartition(tasks, "shard").groupBy("shard").applyInPandas(search, "a long, b long") for table in tables]
     links = materialize(reduce(DataFrame.unionByName, found), "links")
     linked = materialize(components_of(links, classes), "components")  # read from a table, the join can split a key of many rows
