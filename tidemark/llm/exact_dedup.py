@@ -26,7 +26,7 @@ PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_000_003_919, 1_500_450_271)
 _SPACE = frozenset(b" \t\n\v\f\r")
 #: About so many texts are compared with one copy of the group's first text.
-PER_SALT = 512
+PER_SALT = 128
 KEY = ["fp1", "fp2", "n_bytes"]
 _LAST = (1 << 63) - 1
 
