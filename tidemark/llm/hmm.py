@@ -35,7 +35,7 @@ from tidemark.llm.substring_dedup import Hasher, Words, _chunks, _mixed
 PARTS, HELD_OUT = 7, 2
 STATES, PASSES = 6, 5
 #: Tokens of a piece, of the grid of pieces that is worked on at once, and of the documents that are held at once (at least one).
-PIECE, GRID, HELD = 512, 1 << 18, 1 << 20
+PIECE, GRID, HELD = 512, 1 << 17, 1 << 19
 FREQUENT, SUFFIXES = 4096, 4096
 END = FREQUENT + SUFFIXES
 CLASSES = END + 1
@@ -81,20 +81,22 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
             train = np.array([not out for _, out, _ in held])
             own = np.bincount(place[np.repeat(train, counts)], minlength=len(distinct))
-            ends, place = np.cumsum(counts), place.astype("<u4")
+            ends, place, hashes = np.cumsum(counts), place.astype("<u4"), None
             places = [press.compress(place[a:b].tobytes()) for a, b in zip(ends - counts, ends, strict=True)]
             of_block = [press.compress(x.tobytes()) for x in (distinct.astype("<u8"), suffixes[first].astype("<u2"), own.astype("<i8"))]
             return {
                 "block": [block] * (len(held) + 1), "doc_id": [x for x, _, _ in held] + [None], "held_out": [x for _, x, _ in held] + [None], "n_words": [*counts.tolist(), None], "places": [*places, None],
             } | {name: [None] * len(held) + [x] for name, x in zip(("words", "suffixes", "counts"), of_block, strict=True)}
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-                held.append(row)
-                volume += len(row[2])
-                if volume >= BLOCK_BYTES:
-                    yield made()
-                    block, held, volume = block + 1, [], 0
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+                    held.append(row)
+                    volume += len(row[2])
+                    if volume >= BLOCK_BYTES:
+                        yield made()
+                        block, held, volume = block + 1, [], 0
         if held:
             yield made()
 
