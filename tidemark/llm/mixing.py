@@ -21,7 +21,7 @@ from tidemark.llm.common import WORD, apart, materialize
 WEIGHTS, TOTAL, CEILING = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SEED = 64, 42
 #: Words and rows of a shard, about.
-SHARD_WORDS, SHARD_ROWS = 8_000_000, 200_000
+SHARD_WORDS, SHARD_ROWS = 2_000_000, 20_000
 #: Rows of the table of sources up to which it is broadcast; beyond, the join shuffles.
 MOST_BROADCAST = 10_000
 
