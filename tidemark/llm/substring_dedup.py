@@ -35,7 +35,7 @@ _LAST = (1 << 63) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIXES = ((np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)))
 _EDGE = np.uint64(0x2545F4914F6CDD1D)
-_BYTES_AT_ONCE = 1 << 20
+_BYTES_AT_ONCE = 1 << 19
 
 
 def _mixed(x: np.ndarray, which: int) -> np.ndarray:
