@@ -94,8 +94,28 @@ def test_command_line_end_to_end(spark, tmp_path, capsys):
 
 
 def test_tick_audit(spark, tmp_path):
-    rows = ["<DATE>\t<TIME>\t<BID>\t<ASK>\t<LAST>\t<VOLUME>\t<FLAGS>", *(f"2026.03.02\t10:00:0{i}.000\t1.1000{i}\t1.1001{i}\t\t\t6" for i in range(5)), "2026.03.02\t10:00:07.000"]
+    rows = ["<DATE>\t<TIME>\t<BID>\t<ASK>\t<LAST>\t<VOLUME>\t<FLAGS>", *(f"2026.03.02\t10:00:0{i}.000\t1.1000{i}\t1.1001{i}\t\t\t6" for i in range(5)), "2026.03.02\t10:00:07.000", *(f"2026.03.02\t10:05:0{i}.000\t\t1.0999{i}\t\t\t4" for i in range(3)), "2026.03.02\t10:04:59.000\t1.10009\t\t\t\t2"]
     (tmp_path / "ticks.csv").write_text("\n".join(rows) + "\n")
-    main(["ticks", str(tmp_path / "ticks.csv"), "--outdir", str(tmp_path / "out")], spark)
-    quality = spark.read.parquet(str(tmp_path / "out" / "field_quality")).first()
-    assert (quality.rows, quality.malformed) == (6, 1) and spark.read.parquet(str(tmp_path / "out" / "spreads")).first()["spread"] == 10
+    (tmp_path / "bars.csv").write_text("<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\t<TICKVOL>\t<VOL>\t<SPREAD>\n2026.03.02\t10:00:00\t1.10000\t1.10009\t1.10000\t1.10009\t6\t0\t1\n2026.03.02\t10:05:00\t1.10004\t1.10004\t1.10004\t1.10004\t3\t0\t1\n")
+    out = str(tmp_path / "out")
+    main(["ticks", str(tmp_path / "ticks.csv"), "--outdir", out, "--bars", str(tmp_path / "bars.csv"), "--sample-lines", "2"], spark)
+    table = lambda name: spark.read.parquet(f"{out}/{name}")
+    quality = table("field_quality").first()
+    assert (quality.rows, quality.malformed) == (10, 1) and {r.spread: r["count"] for r in table("spreads").collect()}[10] == 5
+    assert {r.clock: (r.covered, r.exact_pct) for r in table("rebuilt").collect()} == {"A_native": (2, 100.0), "B_one_hour": (0, None)}
+    assert table("clock").first().verdict == "INCONCLUSIVE"
+    found = {(r.kind, r.finding): r.value for r in table("readiness").collect()}
+    assert found["blocker", "out_of_order"] == 1 and found["blocker", "crossed_quotes"] == 4 and found["recommendation", "REQUEST DIFFERENT DATA"] == 2
+    lines = [(r.kind, r.line.split("\t")[1]) for r in table("samples").orderBy("kind", "row").collect()]
+    assert lines == [("begin", "10:00:00.000"), ("begin", "10:00:01.000"), ("busiest_hour", "10:00:00.000"), ("busiest_hour", "10:00:01.000"), ("end", "10:05:02.000"), ("end", "10:04:59.000"), ("middle", "10:05:00.000"), ("middle", "10:05:01.000")]
+
+
+def test_files_of_bare_returns_and_latin_letters(spark, tmp_path):
+    from tidemark.sources import text as E
+
+    path = tmp_path / "old.csv"
+    path.write_bytes("<DATE>\t<TIME>\t<BID>\t<ASK>\r2026.03.02\t10:00:00\t1.1\t1.2\r2026.03.02\t10:00:01\tn\u00fcll\r".encode("latin-1"))
+    form = E.sniff(E.prefix_of(spark, str(path)))
+    assert (form.encoding, form.line_end) == ("latin-1", "\r")
+    rows = E.read_ticks(spark, str(path), form, 0.1).orderBy("row").collect()
+    assert [(r.bid, r.malformed) for r in rows] == [(11, None), (None, "2026.03.02\t10:00:01\tn\u00fcll")]

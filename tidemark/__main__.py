@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
+from tidemark.operators import bars as B
+from tidemark.operators import blocks as K
 from tidemark.operators import features as X
 from tidemark.operators import matrix as M
 from tidemark.operators import studies as S
@@ -154,10 +156,38 @@ def ticks(spark: SparkSession, args: argparse.Namespace) -> None:
     keep(book.withColumn("stale", T.stale("epoch_ms", args.stale_side_ms)).groupBy((F.col("ask_now") - F.col("bid_now")).alias("spread"), "stale").count(), args.outdir, "spreads", tables)
     keep(T.step_topk(fine.where("bid is not null"), ["symbol"], "row", ["row"], "bid", 200, text.PER_TASK), args.outdir, "jumps", tables)
     keep(T.step_topk(fine, ["symbol"], "row", ["row"], "epoch_ms", 200, text.PER_TASK), args.outdir, "gaps", tables)
-    write_text(spark, f"{args.outdir}/ticks.md", f"# Ticks\n\n{A.markdown(quality.drop('examples'))}")
+    keep(text.samples(spark, args.path, form, args.sample_lines), args.outdir, "samples", tables)
+    keep(T.weeks(fine.withColumn("s", F.floor(F.col("epoch_ms") / 1000)), "s"), args.outdir, "weeks", tables)
+    made = verdicts(spark, args, fine, book, quality, tables)
+    write_text(spark, f"{args.outdir}/ticks.md", report("Ticks", {"quality": quality.drop("examples"), **made}))
     write_text(spark, f"{args.outdir}/summary.json", json.dumps({"format": vars(form), "tables": tables}, indent=2, default=str))
 
 
+def verdicts(spark: SparkSession, args: argparse.Namespace, fine: DataFrame, book: DataFrame, quality: DataFrame, tables: dict) -> dict[str, DataFrame]:
+    """Bars rebuilt from the carried bid under two clocks against an export (if one is given), the verdict on the clock, and readiness."""
+    kept, seconds = spark.read.parquet(f"{args.outdir}/weeks"), args.bar_seconds
+    ticks = book.withColumn("s", F.floor(F.col("epoch_ms") / 1000).cast("long"))
+    ends = fine.agg((F.min("epoch_ms") / 1000).alias("first"), (F.max("epoch_ms") / 1000).alias("last")).first()
+    facts, out = spark.range(1).select(F.lit(None).cast("double").alias("exact_pct"), F.lit(100.0).alias("covered_pct"), F.lit(0.0).alias("tail_days"), F.lit(0).alias("missing_bars")), {}
+    if args.bars:
+        prices = [F.rint(F.col(c) / args.point).cast("long").alias(c) for c in ("open", "high", "low", "close")]
+        bars = text.read_bars(spark, args.bars, seconds).select(F.lit(args.symbol).alias("symbol"), B.epoch_seconds("open_time").alias("t"), *prices)
+        inside = bars.where((F.col("t") + seconds > ends["first"]) & (F.col("t") <= ends["last"]))
+        one = lambda name, shift: T.compared(inside, T.rebuilt(ticks, ["symbol"], "s", ["row"], seconds, shift), ["symbol"]).select(F.lit(name).alias("clock"), "*")
+        out["rebuilt"] = keep(one("A_native", 0).unionByName(one("B_one_hour", 3600)), args.outdir, "rebuilt", tables)
+        tail = bars.agg(F.greatest(F.lit(0.0), (F.max("t") + seconds - F.lit(ends["last"])) / 86400).alias("tail_days"), F.count("*").alias("n"))
+        native = out["rebuilt"].where("clock = 'A_native'")
+        facts = native.crossJoin(tail).select("exact_pct", (100 * F.col("covered") / F.col("n")).alias("covered_pct"), "tail_days", (F.col("bars") - F.col("covered")).alias("missing_bars"))  # one row each
+    out["clock"] = keep(T.clock_verdict(kept, T.turn_weeks(kept), facts.select("exact_pct")), args.outdir, "clock", tables)
+    past = K.previous(fine, ["symbol"], "row", ["row"], {"__past": F.col("epoch_ms")}, text.PER_TASK)
+    counted = past.agg(F.count_if(F.col("epoch_ms") < F.col("__past")).alias("out_of_order"))
+    counted = counted.crossJoin(book.agg(F.count("*").alias("quotes"), F.count_if(F.col("ask_now") < F.col("bid_now")).alias("crossed"), F.count_if(T.stale("epoch_ms", args.stale_side_ms)).alias("stale")))
+    counted = counted.crossJoin(spark.read.parquet(f"{args.outdir}/duplicates").select(F.col("same_row").alias("duplicates"))).crossJoin(quality.select(F.col("flag_mismatches").alias("mismatches")))
+    counted = counted.crossJoin(facts).crossJoin(out["clock"].select(F.col("verdict").alias("clock")))  # all of one row
+    out["readiness"] = keep(T.readiness(counted), args.outdir, "readiness", tables)
+    return out
+
+
 def explore(spark: SparkSession, args: argparse.Namespace) -> None:
     table = lambda name: artefact(spark, args.outdir, name, "features")
     if args.what == "summary":
@@ -194,6 +224,9 @@ def parser() -> argparse.ArgumentParser:
     tick.add_argument("--point", type=float, default=0.00001)
     tick.add_argument("--stale-side-ms", type=int, default=60_000)
     tick.add_argument("--max-rows", type=int)
+    tick.add_argument("--bars", help="an export of bars that the ticks should rebuild")
+    tick.add_argument("--bar-seconds", type=int, default=300)
+    tick.add_argument("--sample-lines", type=int, default=200)
     look.add_argument("what", choices=("summary", "dict", "columns", "outcomes", "row", "export-sample"))
     look.add_argument("--text", default="")
     look.add_argument("--table", default="features")

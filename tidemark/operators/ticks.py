@@ -48,6 +48,13 @@ def weeks(ticks: DataFrame, t: str) -> DataFrame:
     return ticks.groupBy(week.alias("week")).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n"))
 
 
+def turn_weeks(sessions: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """Those weeks in which the zone's clock changes: its offset at their end differs from that at their start."""
+    monday = (F.col("week") * 7 - 3) * 86400
+    offset = lambda s: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(s), zone)) - s
+    return sessions.where(offset(monday) != offset(monday + 7 * 86400)).select("week")
+
+
 #: Shares in per cent, hours and weeks of the rules on the clock.
 CONSISTENT_PCT, LATE_HOUR, ENOUGH_WEEKS, EXACT_PCT = 95.0, 22, 20, 99.0
 

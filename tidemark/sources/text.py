@@ -50,13 +50,14 @@ def sniff(prefix: bytes) -> TickFormat:
     body = prefix[3:] if bom else prefix
     if b"\0" in body:
         raise ValueError("null bytes: not a text file, or UTF-16")
+    end = b"\r" if b"\r" in body and b"\n" not in body else b"\n"
     for encoding in ("ascii", "utf-8", "latin-1"):
         try:
-            text = body[: body.rfind(b"\n") + 1].decode(encoding) or body.decode(encoding)
+            text = body[: body.rfind(end) + 1].decode(encoding) or body.decode(encoding)
             break
         except UnicodeDecodeError:
             continue
-    line_end = "\r\n" if "\r\n" in text else "\n"
+    line_end = "\r\n" if "\r\n" in text else end.decode()
     lines = [x for x in text.split(line_end) if x]
     if not lines:
         raise ValueError("empty file")
@@ -136,10 +137,34 @@ def read_sources(spark: SparkSession, sources: dict[str, tuple[str, int]]) -> Da
     return out
 
 
+def _lines(spark: SparkSession, path: str, form: TickFormat) -> DataFrame:
+    """file, block, row, value: the lines of a tick file, numbered in its order within each split (good within one table, not as a key)."""
+    reader = spark.read.option("lineSep", "\r") if form.line_end == "\r" else spark.read
+    value = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if form.encoding == "latin-1" else F.col("value")
+    return reader.text(path).select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def samples(spark: SparkSession, path: str, form: TickFormat, n: int) -> DataFrame:
+    """kind (begin, middle, end, busiest_hour), row, line: n raw lines from the file's ends, from its middle in time on, and from its
+    busiest hour."""
+    fields = F.split("value", form.delimiter, -1)
+    at = lambda c: F.get(fields, F.lit(form.columns.index(c))) if c in form.columns else F.lit("00:00:00")
+    rows = _lines(spark, path, form).withColumn("time", F.unix_seconds(F.try_to_timestamp(F.substring(F.concat_ws(" ", at("DATE"), at("TIME")), 1, 19), F.lit("yyyy.MM.dd HH:mm:ss"))))
+    rows = rows.where((F.length("value") > 0) & (F.upper(F.btrim(F.get(fields, F.lit(0)), F.lit("<> \ufeff"))) != form.columns[0]))
+    hours = rows.where("time is not null").groupBy(F.floor(F.col("time") / 3600).alias("hour")).agg(F.count("*").alias("n"))
+    facts = rows.agg(((F.min("time") + F.max("time")) / 2).alias("half")).crossJoin(hours.agg(F.max_by("hour", F.struct("n", -F.col("hour"))).alias("busiest"))).first()  # one row
+    kinds = {"begin": (F.lit(True), "row"), "middle": (F.col("time") >= F.lit(facts.half), "row"), "end": (F.lit(True), F.desc("row")), "busiest_hour": (F.floor(F.col("time") / 3600) == F.lit(facts.busiest), "row")}
+    out = None
+    for kind, (test, order) in kinds.items():
+        one = rows.where(test).orderBy(order).limit(n).select(F.lit(kind).alias("kind"), "row", F.col("value").alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def read_ticks(spark: SparkSession, path: str, form: TickFormat, point: float) -> DataFrame:
     """Ticks in the file's order (file, block, row): epoch_ms, bid, ask and last in points, volume, flags, and `malformed`, the line of a
     row with another number of fields (its other columns are null). Times that don't parse are null; no row is dropped."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = _lines(spark, path, form)
     fields = F.split(F.regexp_replace("value", "^\\uFEFF", ""), form.delimiter, -1)
     raw = raw.withColumn("__fields", fields).where((F.length("value") > 0) & (F.upper(F.btrim(F.col("__fields")[0], F.lit("<> "))) != form.columns[0]))
     raw = raw.select("file", "block", "row", F.when(F.size("__fields") != len(form.columns), F.col("value")).alias(_CORRUPT), *(F.nullif(F.trim(F.get("__fields", F.lit(i))), F.lit("")).alias(c) for i, c in enumerate(form.columns)))
