@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.functions.scalars import safe_divide
 from tidemark.operators import blocks as K
@@ -58,29 +59,29 @@ def timeframe_features(bars: DataFrame, keys: list[str], periods: tuple[int, ...
     """One row per bar (keys, t, c_t, close): averages m<period> and their ribbon, order, entanglement, crossings of the last `window` bars,
     slope of the second period per ATR, and whether the range of the last `window` bars is compressed or expanded against `lookback`.
 
-    `average` is sma or ema, taken of the column `price`; ranges and the true range are of the bars themselves. All windows share one
-    partitioning by keys; the average true range and exponential averages take one Arrow pass over the same one."""
-    w = R.series(keys)
-    rows = bars.withColumn("tr", R.true_range("high", "low", "close", w).cast("double"))
-    rows = rows.select(*keys, "t", "c_t", "high", "low", "close", "tr", F.col(price).alias("price"))
+    `average` is sma or ema, taken of the column `price`; ranges and the true range are of the bars themselves. Windows and averages go
+    over blocks of a series."""
     names = [f"m{p}" for p in periods]
     exponential = {("price", n): (2 / (p + 1), p) for n, p in zip(names, periods, strict=True)} if average == "ema" else {}
+    columns = [*keys, "t", "c_t", "high", "low", "close", F.col(price).alias("price")]
+    rows = K.trailing(bars.select(*columns), keys, "t", 1, lambda df, w: df.withColumn("tr", R.true_range("high", "low", "close", w).cast("double")))
     rows = R.recurrences_of(rows, keys, "t", {("tr", "atr"): (1 / atr, atr)} | exponential)
-    rows = rows.select(
-        *keys, "t", "c_t", F.col("price").alias("close"), F.when(F.col("atr") > 0, F.col("atr")).alias("atr"),
-        *(F.col(n) if exponential else R.full("price", F.avg, w, p).alias(n) for p, n in zip(periods, names, strict=True)),
-        (R.full("high", F.max, w, window) - R.full("low", F.min, w, window)).alias("range"),
-    )
     averages, main = [F.col(n) for n in names], F.col(names[1])
-    before = [F.lag(n).over(w) for n in names]
-    rows = rows.withColumns({f"__{n}": b for n, b in zip(names, before, strict=True)}).withColumn("range_atr", safe_divide(F.col("range"), F.col("atr")))
-    events, net = crossings(averages, [F.col(f"__{n}") for n in names])
-    rows = rows.withColumns({
-        "score": ordering_score(averages), "entangled": entanglement(averages, F.col("atr"), entangled), "width": width(averages), "width_atr": safe_divide(width(averages), F.col("atr")),
-        "slope_atr": safe_divide((main - F.lag(main, slope).over(w)) / float(slope), F.col("atr")), "crossed": events, "net": net, "pct": R.percentile_rank("range_atr", w, lookback, least),
-    })
-    rows = rows.withColumns({"cross_count": R.full("crossed", F.sum, w, window), "compressed": F.col("pct") <= low, "expanded": F.col("pct") >= 1 - low})
-    return rows.drop(*(f"__{n}" for n in names))
+
+    def make(df: DataFrame, w: WindowSpec) -> DataFrame:
+        plain = {} if exponential else {n: R.full("price", F.avg, w, p) for p, n in zip(periods, names, strict=True)}
+        df = df.withColumns({"atr": F.when(F.col("atr") > 0, F.col("atr")), "range": R.full("high", F.max, w, window) - R.full("low", F.min, w, window)} | plain)
+        df = df.withColumns({f"__{n}": F.lag(n).over(w) for n in names}).withColumn("range_atr", safe_divide(F.col("range"), F.col("atr")))
+        events, net = crossings(averages, [F.col(f"__{n}") for n in names])
+        df = df.withColumns({
+            "score": ordering_score(averages), "entangled": entanglement(averages, F.col("atr"), entangled), "width": width(averages), "width_atr": safe_divide(width(averages), F.col("atr")),
+            "slope_atr": safe_divide((main - F.lag(main, slope).over(w)) / float(slope), F.col("atr")), "crossed": events, "net": net, "pct": R.percentile_rank("range_atr", w, lookback, least),
+        })
+        return df.withColumns({"cross_count": R.full("crossed", F.sum, w, window), "compressed": F.col("pct") <= low, "expanded": F.col("pct") >= 1 - low})
+
+    rows = K.trailing(rows, keys, "t", lookback + window + max(periods) + slope + 2, make)
+    made = ["range_atr", "score", "entangled", "width", "width_atr", "slope_atr", "crossed", "net", "pct", "cross_count", "compressed", "expanded"]
+    return rows.select(*keys, "t", "c_t", F.col("price").alias("close"), "atr", *names, "range", *made)
 
 
 def between(lo: str, hi: str, average: str, trend: float) -> dict[str, Column]:

@@ -132,16 +132,18 @@ def sma(spark, sf_dir):
 
 @query(f"{_BASE} SELECT symbol, t, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, (close - lag(close, 3) OVER w) / 3.0 AS slope FROM bars {_W}")
 def true_range_and_slope(spark, sf_dir):
-    w = R.series(KEY)
-    return hourly(spark, sf_dir).select("symbol", "t", R.true_range("high", "low", "close", w).alias("tr"), ((F.col("close") - F.lag("close", 3).over(w)) / F.lit(3.0)).alias("slope"))
+    made = lambda df, w: df.withColumns({"tr": R.true_range("high", "low", "close", w), "slope": (F.col("close") - F.lag("close", 3).over(w)) / F.lit(3.0)})
+    return K.trailing(hourly(spark, sf_dir), KEY, "t", 3, made).select("symbol", "t", "tr", "slope")
 
 
 @query(f"{_BASE}, r AS (SELECT symbol, t, close, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / (lag(close) OVER w)) END AS ret FROM bars {_W}) SELECT symbol, t, round({_full('stddev_samp(ret)', 'ret', 12)}, 6) AS vol, round({_full('stddev_pop(close)', 'close', 12)}, 6) AS close_std FROM r")
 def realized_vol(spark, sf_dir):
-    w = R.series(KEY)
-    before = F.lag("close").over(w)
-    rows = hourly(spark, sf_dir).withColumn("ret", F.when((F.col("close") > 0) & (before > 0), F.ln(F.col("close") / before)))
-    return rows.select("symbol", "t", F.round(R.full("ret", F.stddev_samp, w, 12), 6).alias("vol"), F.round(R.full("close", F.stddev_pop, w, 12), 6).alias("close_std"))
+    def made(df, w):
+        before = F.lag("close").over(w)
+        df = df.withColumn("ret", F.when((F.col("close") > 0) & (before > 0), F.ln(F.col("close") / before)))
+        return df.withColumns({"vol": F.round(R.full("ret", F.stddev_samp, w, 12), 6), "close_std": F.round(R.full("close", F.stddev_pop, w, 12), 6)})
+
+    return K.trailing(hourly(spark, sf_dir).select("symbol", "t", "close"), KEY, "t", 13, made).select("symbol", "t", "vol", "close_std")
 
 
 _RANGE = f"r AS (SELECT symbol, t, high, low, close, {_full('max(high)', 'high', 12)} AS hi, {_full('min(low)', 'low', 12)} AS lo FROM bars)"
@@ -214,8 +216,8 @@ _MA = f"ma AS (SELECT symbol, t, close, {', '.join(_full('avg(close)', 'close',
 
 
 def ribbon(spark, sf_dir):
-    w = R.series(KEY)
-    rows = hourly(spark, sf_dir).select("symbol", "t", F.col("close").cast("double").alias("close"), *(R.full("close", F.avg, w, p).alias(f"m{p}") for p in PERIODS))
+    rows = hourly(spark, sf_dir).select("symbol", "t", F.col("close").cast("double").alias("close"))
+    rows = K.trailing(rows, KEY, "t", max(PERIODS), lambda df, w: df.withColumns({f"m{p}": R.full("close", F.avg, w, p) for p in PERIODS}))
     return rows.withColumn("ma", F.array(*(f"m{p}" for p in PERIODS)))
 
 
@@ -243,7 +245,7 @@ _SIGN = "sign(round(m{a} - m{b}, 6)) AS s{a}_{b}, lag(sign(round(m{a} - m{b}, 6)
 @query(f"{_BASE}, {_MA}, s AS (SELECT symbol, t, {_each(_SIGN, ', ')} FROM ma {_W}) " + " UNION ALL ".join(f"SELECT symbol, t, {a} AS fast, {b} AS slow, CASE WHEN s{a}_{b} > 0 THEN 1 ELSE -1 END AS direction FROM s WHERE (s{a}_{b} > 0 AND p{a}_{b} <= 0) OR (s{a}_{b} < 0 AND p{a}_{b} >= 0)" for a, b in _PAIRS))
 def pair_crossings(spark, sf_dir):
     rows = ribbon(spark, sf_dir).withColumn("s", _pairs(lambda x: F.signum(F.round(x, 6))))
-    rows = rows.withColumn("p", F.lag("s").over(R.series(KEY)))
+    rows = K.previous(rows, KEY, "t", ["t"], {"p": F.col("s")})
     pairs = F.array(*(F.struct(F.lit(a).alias("fast"), F.lit(b).alias("slow")) for a, b in _PAIRS))
     hit = F.transform(pairs, lambda x, i: F.struct(x["fast"].alias("fast"), x["slow"].alias("slow"), F.when((F.get("s", i) > 0) & (F.get("p", i) <= 0), 1).when((F.get("s", i) < 0) & (F.get("p", i) >= 0), -1).alias("direction")))
     return rows.select("symbol", "t", F.inline(F.filter(hit, lambda x: x["direction"].isNotNull())))
@@ -265,9 +267,11 @@ def ribbon_stats(spark, sf_dir):
 
 @query(f"{_BASE}, {_RANGE}, b AS (SELECT symbol, t, CASE WHEN lag(hi) OVER w IS NOT NULL THEN CAST(close > lag(hi) OVER w AS INT) END AS up, CASE WHEN lag(lo) OVER w IS NOT NULL THEN CAST(close < lag(lo) OVER w AS INT) END AS down FROM r {_W}) SELECT symbol, t, CAST({_full('sum(up)', 'up', 12)} AS BIGINT) AS ups, CAST({_full('sum(down)', 'down', 12)} AS BIGINT) AS downs FROM b")
 def breakouts(spark, sf_dir):
-    w = R.series(KEY)
-    rows = ranges(spark, sf_dir).withColumn("up", (F.col("close") > F.lag("hi").over(w)).cast("int")).withColumn("down", (F.col("close") < F.lag("lo").over(w)).cast("int"))
-    return rows.select("symbol", "t", R.full("up", F.sum, w, 12).alias("ups"), R.full("down", F.sum, w, 12).alias("downs"))
+    def made(df, w):
+        df = df.withColumns({"up": (F.col("close") > F.lag("hi").over(w)).cast("int"), "down": (F.col("close") < F.lag("lo").over(w)).cast("int")})
+        return df.withColumns({"ups": R.full("up", F.sum, w, 12), "downs": R.full("down", F.sum, w, 12)})
+
+    return K.trailing(ranges(spark, sf_dir), KEY, "t", 13, made).select("symbol", "t", "ups", "downs")
 
 
 @query(f"{_BASE}, {_MA} SELECT symbol, t, p AS period, round(v, 4) AS value, CAST(rank_ AS INT) AS place FROM (SELECT symbol, t, p, v, rank() OVER (PARTITION BY symbol, t ORDER BY v, p) - 1 AS rank_ FROM (SELECT symbol, t, unnest([{', '.join(map(str, PERIODS))}]) AS p, unnest([{', '.join(f'round(m{p}, 6)' for p in PERIODS)}]) AS v FROM ma) WHERE v IS NOT NULL)")
