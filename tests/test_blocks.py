@@ -147,3 +147,36 @@ def test_pairs_cross_between_blocks(spark):
     rows = spark.createDataFrame([("a", i, i, [float(x), 5.0]) for i, x in enumerate((4, 6, 6, 5, 4, 7))], "k string, n long, c_t long, x array<double>")
     out = X.crossed_pairs(rows, KEY, "n", (2, 5), (), ("ema",))
     assert sorted((r.c_t, r.fast, r.slow, r.direction) for r in out.collect()) == [(1, 2, 5, 1), (4, 2, 5, -1), (5, 2, 5, 1)]
+
+
+def test_rows_since_a_flag_and_runs(frame, series):
+    plain = pandas_of(series)
+    flags = plain["x"].where(plain["v"].notna()).map(lambda x: None if pd.isna(x) else x > 40)
+    since, run, before = [], [], None
+    for k, f in zip(plain["k"], flags, strict=True):
+        if k != before:
+            n, length, before = None, 0, k
+        n = 0 if f else (None if n is None else n + 1)
+        length = length + 1 if f else 0
+        since.append(n)
+        run.append(None if f is None else length)
+    out = collected(R.since_and_run(frame.withColumn("f", F.when(F.col("v").isNotNull(), F.col("x") > 40)), "f", KEY, size=16), "since", "run")
+    same(out["since"], since)
+    same(out["run"], run)
+
+
+def test_places_in_a_cell_are_those_of_the_whole_cell(spark):
+    rows = spark.createDataFrame([("hot" if t % 3 else "b", t) for t in range(5000)] + [("one", 1), (None, 2)], "k string, t long")
+    out = S.placed(rows, KEY, "t", 3).withColumn("h", S.seeded(3, "t")).toPandas()
+    assert len(out) == 5002
+    for _, cell in out.groupby("k", dropna=False):
+        assert cell.sort_values(["h", "t"])["__r"].tolist() == list(range(1, len(cell) + 1)) and set(cell["__size"]) == {len(cell)}
+
+
+def test_controls_wrap_round_a_small_pool(spark):
+    events = spark.createDataFrame([("a", t) for t in (10, 20, 30)] + [("b", 1)], "k string, e long")
+    pool = spark.createDataFrame([("a", t) for t in (1, 2, 3, 4)], "k string, t long")
+    found = S.matched_controls(events, pool, KEY, "e", "t", 3, 7).toPandas()
+    assert found.groupby("e").size().to_dict() == {10: 3, 20: 3, 30: 3} and found.groupby("e")["t"].nunique().eq(3).all()
+    order = S.placed(pool, KEY, "t", 7).orderBy("__r").toPandas()["t"].tolist()
+    assert found.sort_values(["e", "slot"])["t"].tolist() == (order * 3)[:9]

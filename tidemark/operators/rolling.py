@@ -6,17 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidemark.operators import blocks as K
 
 
-def series(keys: list[str], t: str = "t") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(t)
-
-
 def full(value: str, aggregate: Callable[[Column], Column], w: WindowSpec, rows: int) -> Column:
     """The aggregate of the last `rows` values, null until there are so many."""
     frame = w.rowsBetween(1 - rows, 0)
@@ -35,19 +31,14 @@ def percentile_rank(value: str, w: WindowSpec, rows: int, least: int) -> Column:
     return F.when(F.col(value).isNotNull() & (F.size(held) >= least), (below + (same + 1) / 2) / F.size(held))
 
 
-def bars_since(flag: Column, w: WindowSpec) -> Column:
-    """Rows since the flag was last true, 0 on it, null before."""
-    number = F.row_number().over(w)
-    return number - F.last(F.when(flag, number), ignorenulls=True).over(w)
-
-
-def run_length(rows: DataFrame, flag: str, keys: list[str], t: str = "t") -> DataFrame:
-    """Adds `run`: consecutive true rows up to here, 0 on false, null on null (which breaks the run)."""
-    w = series(keys, t)
-    island = F.sum(F.when(F.col(flag), 0).otherwise(1)).over(w)
-    numbered = rows.withColumn("__island", island)
-    inside = F.sum(F.when(F.col(flag), 1).otherwise(0)).over(Window.partitionBy(*keys, "__island").orderBy(t))
-    return numbered.withColumn("run", F.when(F.col(flag).isNotNull(), inside)).drop("__island")
+def since_and_run(rows: DataFrame, flag: str, keys: list[str], t: str = "t", size: int = K.TIME) -> DataFrame:
+    """Adds `since`, rows since the flag was last true (0 on it, null before), and `run`, consecutive true rows up to here (0 on false,
+    null on null, which breaks the run)."""
+    n = F.col("__n")
+    marks = {"__held": F.when(F.col(flag), n), "__broken": F.when(~F.coalesce(F.col(flag), F.lit(False)), n)}
+    out = K.carried(K.numbered(rows, keys, t, size), keys, t, [t], marks, size)
+    run = F.when(F.col(flag).isNotNull(), n - F.coalesce("__broken", F.lit(-1)))
+    return out.withColumns({"since": n - F.col("__held"), "run": run}).drop("__n", *marks)
 
 
 def recurrences(rows: DataFrame, keys: list[str], t: str, value: str, alphas: dict[str, tuple[float, int]]) -> DataFrame:

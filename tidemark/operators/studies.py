@@ -87,22 +87,33 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary"))
 
 
+def placed(rows: DataFrame, cell: list[str], t: str, seed: int) -> DataFrame:
+    """Adds __r, the place of a row in the seeded order of its cell (from 1), and __size, the rows of the cell. The order is by a hash, so
+    its first digits cut a cell into parts of like size; a part's rows are ranked alone and follow those of the parts before."""
+    rows = rows.withColumn("__hash", seeded(seed, t)).withColumn(K.BLOCK, F.conv(F.substring("__hash", 1, 3), 16, 10).cast("long"))
+    whole = Window.partitionBy(*cell)
+    before = whole.orderBy(K.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*cell, K.BLOCK).agg(F.count("*").alias("__part"))
+    parts = parts.withColumns({"__before": F.coalesce(F.sum("__part").over(before), F.lit(0)), "__size": F.sum("__part").over(whole)})
+    own = F.row_number().over(Window.partitionBy(*cell, K.BLOCK).orderBy("__hash", t))
+    out = K._with_carries(rows.withColumn("__r", own), parts, cell, ["__before", "__size"])
+    return out.withColumn("__r", F.col("__r") + F.col("__before")).drop("__hash", "__before", K.BLOCK)
+
+
 def matched_controls(events: DataFrame, pool: DataFrame, cell: list[str], event_t: str, pool_t: str, n: int, seed: int) -> DataFrame:
     """cell, event time, slot, control time: each cell's pool stands in seeded order once; its events in order of time take the next n
     with a cursor that wraps round, none twice for one event."""
-    ranked = pool.withColumn("__r", F.row_number().over(Window.partitionBy(*cell).orderBy(seeded(seed, pool_t), pool_t)) - 1)
-    ranked = ranked.withColumn("__size", F.count("*").over(Window.partitionBy(*cell)))
-    sizes = ranked.groupBy(*cell).agg(F.max("__size").alias("__n"))
-    asked = events.withColumn("__e", F.row_number().over(Window.partitionBy(*cell).orderBy(event_t)) - 1).join(sizes, cell)
+    ranked = placed(pool, cell, pool_t, seed).drop("__size").withColumn("__r", F.col("__r") - 1)
+    sizes = pool.groupBy(*cell).agg(F.count("*").alias("__n"))
+    asked = K.numbered(events, cell, event_t, name="__e").join(sizes, cell)
     asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("__n")).cast("int") - 1)))
-    asked = asked.withColumn("__r", ((F.col("__e") * n + F.col("slot")) % F.col("__n")).cast("int"))
+    asked = asked.withColumn("__r", ((F.col("__e") * n + F.col("slot")) % F.col("__n")).cast("long"))
     return asked.join(ranked, [*cell, "__r"]).select(*cell, event_t, "slot", pool_t)
 
 
 def stratified(rows: DataFrame, stratum: str, share: float, t: str, seed: int) -> DataFrame:
     """round(share * size) rows of each stratum (half to even), without replacement."""
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, t), t))).withColumn("__n", F.count("*").over(Window.partitionBy(stratum)))
-    return ranked.where(F.col("__r") <= F.bround(F.col("__n") * share)).drop("__r", "__n")
+    return placed(rows, [stratum], t, seed).where(F.col("__r") <= F.bround(F.col("__size") * share)).drop("__r", "__size")
 
 
 def mean_difference(group: Column, value: str) -> Column:
@@ -251,8 +262,8 @@ def random_in_context(events: DataFrame, pool: DataFrame, cell: list[str], pool_
     """Rows of the pool drawn without replacement, in each cell in proportion to the cell's share of the events (half to even)."""
     everything = Window.partitionBy()
     shares = events.groupBy(*cell).agg(F.count("*").alias("n")).withColumn("want", F.bround(F.col("n") / F.sum("n").over(everything) * total).cast("long"))
-    ranked = pool.withColumn("__r", F.row_number().over(Window.partitionBy(*cell).orderBy(seeded(seed, pool_t), pool_t)))
-    return ranked.join(shares.drop("n"), cell).where(F.col("__r") <= F.col("want")).drop("__r", "want")
+    ranked = placed(pool, cell, pool_t, seed)
+    return ranked.join(shares.drop("n"), cell).where(F.col("__r") <= F.col("want")).drop("__r", "__size", "want")
 
 
 def first_reason(tests: dict[str, Column]) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks as K
+
 #: Prefixes of columns that look ahead.
 OUTCOME_PREFIXES = ("fwd_", "max_future_", "min_future_", "long_m", "short_m", "time_to_", "max_abs_move", "future_range", "horizon_complete", "bars_in_window", "expansion_")
 _LABEL = re.compile(r"expansion_(up|down)_([0-9.]+)p_([0-9]+)m")
@@ -47,9 +49,8 @@ def schema_differences(columns: Iterable[str], documented: Iterable[str]) -> dic
 
 def integrity(bars: DataFrame, keys: list[str], t: str, seconds: int) -> DataFrame:
     """Per series: rows, repeated times, times off the grid, gaps (steps over one bar) and the widest step."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    step = F.col(t) - F.lag(t).over(w)
-    return bars.withColumn("__step", step).groupBy(*keys).agg(
+    stepped = K.previous(bars.select(*keys, t), keys, t, [t], {"__past": F.col(t)}).withColumn("__step", F.col(t) - F.col("__past"))
+    return stepped.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.count_if(F.col("__step") == 0).alias("repeated"), F.count_if(F.col(t) % seconds != 0).alias("off_grid"),
         F.count_if(F.col("__step") > seconds).alias("gaps"), F.max("__step").alias("widest"),
     )
@@ -91,8 +92,6 @@ def source_quality(bars: DataFrame, seconds: int, base: int, closures: DataFrame
 def audit(bars: DataFrame, keys: list[str], t: str, seconds: int, closed: str | None = None) -> DataFrame:
     """check, value (text): what a series of bars (t, open, high, low, close, n) holds that it should not, and its calendar. One pass over
     the bars with the row before them, one over the slots of weekdays."""
-    from tidemark.operators import blocks as K
-
     rows = K.previous(bars, keys, t, [t], {"__past": F.col(t)}).withColumn("__gap", F.col(t) - F.col("__past"))
     day = F.floor(F.col(t) / 86400).cast("long")
     weekday = lambda d: (d + 3) % 7
@@ -145,7 +144,6 @@ def decision_quality(decisions: DataFrame, frames: dict[str, DataFrame], keys: l
 def timing_audit(decisions: DataFrame, frames: dict[str, DataFrame], keys: list[str], t: str, n: int, seed: int, shifts: dict[str, int]) -> DataFrame:
     """For n decisions in seeded order, per timeframe and mode of indicators: the bar in force, the bar that indicators read, and how old it
     is. frames: keys, t, c_t of closed bars."""
-    from tidemark.operators import blocks as K
     from tidemark.operators.bars import asof
     from tidemark.operators.studies import seeded
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import safe_divide
 from tidemark.operators import bars as B
+from tidemark.operators import blocks as K
 from tidemark.operators import features as X
 from tidemark.operators import rolling as R
 from tidemark.operators import studies as S
 from tidemark.operators import validation as V
-from tidemark.plans.queries import _BASE, _TAPE, _W, HOUR, KEY, PERIODS, _bars, _each, _full, hourly, query
+from tidemark.plans.queries import _BASE, _TAPE, _W, HOUR, KEY, PERIODS, _bars, _each, _full, hourly, query, with_end
 
 TREND, AVERAGE = 0.5, f"m{PERIODS[1]}"
 _MS = [f"m{p}" for p in PERIODS]
@@ -64,11 +65,15 @@ def price_distances(spark, sf_dir):
 
 @query(f"{_HOUR} SELECT symbol, t, ({' + '.join(f'coalesce(CAST(m{p} < close AS INT), 0)' for p in PERIODS)}) / {len(PERIODS)} AS below, round((close - least({', '.join(_MS)})) / nullif(width, 0), 6) + 0.0 AS position, round(width - lag(width, 3) OVER w, 4) + 0.0 AS width_change, round((width_atr - lag(width_atr, 3) OVER w) / 3.0, 4) + 0.0 AS expansion FROM one_f {_W}")
 def price_in_ribbon(spark, sf_dir):
-    w = R.series(KEY)
     below = sum((F.coalesce((F.col(m) < F.col("close")).cast("int"), F.lit(0)) for m in _MS), F.lit(0)) / len(_MS)
-    change = lambda c: F.col(c) - F.lag(c, 3).over(w)
     place = safe_divide(F.col("close") - F.least(*_MS), F.col("width"))
-    return timeframe(spark, sf_dir, 1).select("symbol", "t", below.alias("below"), F.round(place, 6).alias("position"), F.round(change("width"), 4).alias("width_change"), F.round(change("width_atr") / 3.0, 4).alias("expansion"))
+
+    def made(df, w):
+        change = lambda c: F.col(c) - F.lag(c, 3).over(w)
+        return df.withColumns({"width_change": F.round(change("width"), 4), "expansion": F.round(change("width_atr") / 3.0, 4)})
+
+    rows = K.trailing(timeframe(spark, sf_dir, 1).select("symbol", "t", "close", "width", "width_atr", *_MS), KEY, "t", 3, made)
+    return rows.select("symbol", "t", below.alias("below"), F.round(place, 6).alias("position"), "width_change", "expansion")
 
 
 _ALIGN = f"WITH RECURSIVE {_TAPE}, {_features('one', 1)}, {_features('four', 4)}, aligned AS (SELECT lo.symbol, lo.t, lo, hi FROM one_f lo ASOF LEFT JOIN four_f hi ON lo.symbol = hi.symbol AND lo.c_t >= hi.c_t)"
@@ -130,12 +135,17 @@ _KINDS = f"{_NUMBERED}, k AS (SELECT x.symbol, x.t, CASE WHEN x.rn >= 5 THEN e5
 @query(f"{_KINDS} SELECT symbol, t, coalesce(CAST(a * lag(a) OVER w < 0 AS INT), 0) + coalesce(CAST(b * lag(b) OVER w < 0 AS INT), 0) AS crossed, (coalesce(CAST(a > 0 AS INT), 0) + coalesce(CAST(b > 0 AS INT), 0)) / nullif(CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT), 0) AS above FROM d {_W}")
 def average_kinds(spark, sf_dir):
     rows = hourly(spark, sf_dir).select("symbol", "t", F.col("close").cast("double").alias("x"))
-    rows, w = R.recurrences(rows, KEY, "t", "x", {"e5": (2 / 6, 5), "e20": (2 / 21, 20)}), R.series(KEY)
-    rows = rows.withColumns({f"m{n}": R.full("x", F.avg, w, n) for n in (5, 20)})
+    rows = R.recurrences(rows, KEY, "t", "x", {"e5": (2 / 6, 5), "e20": (2 / 21, 20)})
+
+    def made(df, w):
+        df = df.withColumns({f"m{n}": R.full("x", F.avg, w, n) for n in (5, 20)})
+        return df.withColumn("crossed", X.average_kinds_crossed(["e5", "e20"], ["m5", "m20"], w))
+
+    rows = K.trailing(rows, KEY, "t", 21, made)
     sides = [F.signum(F.round(F.col(f"e{n}") - F.col(f"m{n}"), 6)) for n in (5, 20)]
     count = lambda tests: sum((F.coalesce(x.cast("int"), F.lit(0)) for x in tests), F.lit(0))
     above = safe_divide(count([s > 0 for s in sides]), count([s.isNotNull() for s in sides]))
-    return rows.select("symbol", "t", X.average_kinds_crossed(["e5", "e20"], ["m5", "m20"], w).alias("crossed"), above.alias("above"))
+    return rows.select("symbol", "t", "crossed", above.alias("above"))
 
 
 # --- outcomes over a grid -----------------------------------------------------------------------------------------------
@@ -152,13 +162,16 @@ def _horizon(h: int) -> str:
 @query(f"{_BASE} {' UNION ALL '.join(f'SELECT * FROM {_horizon(h)}' for h in HORIZONS)}")
 def outcome_summary(spark, sf_dir):
     """All horizons share one pass over the bars; the grid is one exploded aggregate."""
-    w, rows = R.series(KEY), hourly(spark, sf_dir)
-    last = F.max("t").over(w.rowsBetween(-(1 << 63), (1 << 63) - 1))
-    cells = []
-    for h in HORIZONS:
-        ahead = w.rangeBetween(1, h)
-        cells.append(F.struct(F.lit(h).alias("horizon"), F.count("*").over(ahead).alias("n"), (F.max("high").over(ahead) - F.col("close")).alias("up"), (F.min("low").over(ahead) - F.col("close")).alias("down"), (F.col("t") + h <= last).alias("complete")))
-    rows = rows.select(F.array(*cells).alias("cells")).select(F.inline("cells")).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
+
+    def made(df, w):
+        cells = []
+        for h in HORIZONS:
+            ahead = w.rangeBetween(1, h)
+            cells.append(F.struct(F.lit(h).alias("horizon"), F.count("*").over(ahead).alias("n"), (F.max("high").over(ahead) - F.col("close")).alias("up"), (F.min("low").over(ahead) - F.col("close")).alias("down"), (F.col("t") + h <= F.col("end")).alias("complete")))
+        return df.withColumn("cells", F.array(*cells))
+
+    rows = with_end(hourly(spark, sf_dir).select("symbol", "t", "high", "low", "close"))
+    rows = K.ahead(rows, KEY, "t", max(HORIZONS), made).select(F.inline("cells")).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
     up, down, move = F.col("up") >= F.col("threshold"), F.col("down") <= -F.col("threshold"), F.greatest(F.col("up"), -F.col("down"))
     return rows.groupBy("horizon", "threshold").agg(
         F.count("*").alias("rows"), F.count_if("complete").alias("complete"), F.count_if(F.col("complete") & (F.col("n") == 0)).alias("empty"), F.count_if(up).alias("ups"), F.count_if(down).alias("downs"),
@@ -169,7 +182,7 @@ def outcome_summary(spark, sf_dir):
 @query(f"{_HOUR}, v AS (SELECT close > lag(close) OVER w AS up, atr, score, entangled, width_atr, slope_atr FROM one_f {_W}), u AS (UNPIVOT v ON atr, score, entangled, width_atr, slope_atr INTO NAME feature VALUE x), d AS (SELECT feature, avg(x) FILTER (up) - avg(x) FILTER (NOT up) AS gap, sqrt((var_pop(x) FILTER (up) + var_pop(x) FILTER (NOT up)) / 2) AS pooled FROM u GROUP BY feature), e AS (SELECT CASE WHEN feature IN ('atr', 'width_atr') THEN 'width' ELSE 'order' END AS family, CASE WHEN gap = 0 THEN 0.0 WHEN pooled > 0 THEN gap / pooled END AS smd FROM d) SELECT family, count(*) AS n, round(avg(abs(smd)), 4) AS mean_abs, round(max(abs(smd)), 4) AS max_abs, round(100 * avg(CAST(abs(smd) > 0.2 AS INT)), 4) AS large FROM e GROUP BY family")
 def feature_family_balance(spark, sf_dir):
     """Long form: one aggregate whatever the number of features."""
-    rows = timeframe(spark, sf_dir, 1).withColumn("up", F.col("close") > F.lag("close").over(R.series(KEY)))
+    rows = K.previous(timeframe(spark, sf_dir, 1), KEY, "t", ["t"], {"past": F.col("close")}).withColumn("up", F.col("close") > F.col("past"))
     names = ["atr", "score", "entangled", "width_atr", "slope_atr"]
     long = rows.unpivot(["up"], names, "feature", "x").groupBy("feature").agg(S.mean_difference(F.col("up"), "x").alias("smd"))
     family, size = F.when(F.col("feature").isin("atr", "width_atr"), "width").otherwise("order"), F.abs("smd")

@@ -97,8 +97,7 @@ _ASOF = f"WITH {_TAPE}, {_bars()}, {_bars(4, 'four')}, aligned AS (SELECT b.symb
 def aligned(spark, sf_dir, shift: int = 0):
     four = hourly(spark, sf_dir, 4).select("symbol", F.col("c_t").alias("f_t"), F.col("close").alias("f_close"))
     if shift:
-        w = R.series(KEY, "f_t")
-        four = four.select("symbol", "f_t", F.lag("f_t", shift).over(w).alias("source_t"))
+        four = K.trailing(four.select("symbol", "f_t"), KEY, "f_t", shift, lambda df, w: df.withColumn("source_t", F.lag("f_t", shift).over(w)))
         return B.asof(hourly(spark, sf_dir).select("symbol", "t", "c_t"), four, KEY, "c_t", "f_t", ["source_t"])
     return B.asof(hourly(spark, sf_dir).select("symbol", "t", "c_t", "close"), four, KEY, "c_t", "f_t", ["f_close"])
 
@@ -180,10 +179,8 @@ def compression_states(spark, sf_dir):
 
 @query(f"{_BASE}, f AS (SELECT symbol, t, CASE WHEN lag(close) OVER w IS NOT NULL THEN close > lag(close) OVER w END AS up, row_number() OVER w AS rn FROM bars {_W}), g AS (SELECT *, rn - max(CASE WHEN up THEN rn END) OVER (PARTITION BY symbol ORDER BY t) AS since, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY t) AS island FROM f) SELECT symbol, t, CAST(since AS BIGINT) AS since, CASE WHEN up IS NOT NULL THEN CAST(sum(CASE WHEN up THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, island ORDER BY t) AS BIGINT) END AS run FROM g")
 def bars_since_and_run_length(spark, sf_dir):
-    w = R.series(KEY)
-    rows = hourly(spark, sf_dir).withColumn("up", F.col("close") > F.lag("close").over(w))
-    rows = R.run_length(rows, "up", KEY).withColumn("since", R.bars_since(F.col("up"), w))
-    return rows.select("symbol", "t", F.col("since").cast("long").alias("since"), "run")
+    rows = K.previous(hourly(spark, sf_dir).select("symbol", "t", "close"), KEY, "t", ["t"], {"past": F.col("close")})
+    return R.since_and_run(rows.withColumn("up", F.col("close") > F.col("past")), "up", KEY).select("symbol", "t", "since", "run")
 
 
 _NUMBERED = f"{_BASE}, x AS (SELECT symbol, t, open, high, low, close, row_number() OVER w AS rn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {_W})"
@@ -198,7 +195,8 @@ def ema(spark, sf_dir):
 
 @query(f"{_NUMBERED}, y AS (SELECT symbol, t, rn, CAST(tr AS DOUBLE) AS a FROM x WHERE rn = 1 UNION ALL SELECT x.symbol, x.t, x.rn, (1.0 / 14) * x.tr + (1 - 1.0 / 14) * y.a FROM y JOIN x ON x.symbol = y.symbol AND x.rn = y.rn + 1) SELECT symbol, t, round(CASE WHEN rn >= 14 AND a > 0 THEN a END, 4) AS atr FROM y")
 def wilder_atr(spark, sf_dir):
-    rows = hourly(spark, sf_dir).select("symbol", "t", R.true_range("high", "low", "close", R.series(KEY)).cast("double").alias("x"))
+    made = lambda df, w: df.withColumn("x", R.true_range("high", "low", "close", w).cast("double"))
+    rows = K.trailing(hourly(spark, sf_dir).select("symbol", "t", "high", "low", "close"), KEY, "t", 1, made).select("symbol", "t", "x")
     out = R.recurrences(rows, KEY, "t", "x", {"atr": (1 / 14, 14)})
     return out.select("symbol", "t", F.round(F.when(F.col("atr") > 0, F.col("atr")), 4).alias("atr"))
 
@@ -286,11 +284,17 @@ def unpivot_panel(spark, sf_dir):
 AHEAD = 6 * HOUR
 
 
+def with_end(rows: DataFrame) -> DataFrame:
+    """Adds the time of a symbol's last row: an aggregate of a row a symbol, joined back."""
+    ends = rows.groupBy(F.col("symbol").alias("__s")).agg(F.max("t").alias("end"))
+    return rows.join(ends, F.col("symbol").eqNullSafe(F.col("__s")), "left").drop("__s")
+
+
 @query(f"{_BASE} SELECT symbol, t, count(*) OVER f AS f_n, max(high) OVER f - close AS max_delta, min(low) OVER f - close AS min_delta, greatest(0, max(high) OVER f - close) + 0 * (max(high) OVER f) AS mfe, greatest(0, close - min(low) OVER f) + 0 * (min(low) OVER f) AS mae, max({{'h': high, 't': t}}) OVER f AS best, last_value(close) OVER f - close AS change, t + {AHEAD} <= max(t) OVER (PARTITION BY symbol) AS complete FROM bars WINDOW f AS {_ahead(AHEAD)}".replace("max({'h': high, 't': t}) OVER f AS best", f"(SELECT max(x.t) FROM bars x WHERE x.symbol = bars.symbol AND x.t > bars.t AND x.t <= bars.t + {AHEAD} AND x.high = (SELECT max(y.high) FROM bars y WHERE y.symbol = bars.symbol AND y.t > bars.t AND y.t <= bars.t + {AHEAD})) - t AS t_high"))
 def forward_extremes(spark, sf_dir):
-    rows = R.forward_extremes(hourly(spark, sf_dir), KEY, "t", AHEAD)
+    rows = with_end(R.forward_extremes(hourly(spark, sf_dir), KEY, "t", AHEAD))
     up, down = F.col("f_high") - F.col("close"), F.col("f_low") - F.col("close")
-    complete = F.col("t") + AHEAD <= F.max("t").over(Window.partitionBy("symbol"))
+    complete = F.col("t") + AHEAD <= F.col("end")
     return rows.select("symbol", "t", "f_n", up.alias("max_delta"), down.alias("min_delta"), floored(up).alias("mfe"), floored(-down).alias("mae"), F.col("f_high_t").alias("t_high"), (F.col("f_close") - F.col("close")).alias("change"), complete.alias("complete"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks as K
 from tidemark.plans.queries import _BASE, _QUOTES, _SPREAD, _TAPE, HOUR, KEY, _bars, hourly, query, spreads, tape
 from tidemark.sources import artefacts as A
 from tidemark.sources import text as E
@@ -168,8 +168,7 @@ def minute_density(spark, sf_dir):
 
 @query(f"WITH {_TAPE}, g AS (SELECT symbol, s - lag(s) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS step FROM tape) SELECT symbol, count(*) FILTER (step < 0) AS backwards, {', '.join(f'count(*) FILTER (step >= {m * 60}) AS over_{m}' for m in (1, 5, 30, 120))} FROM g GROUP BY symbol")
 def gap_counts(spark, sf_dir):
-    step = F.col("s") - F.lag("s").over(Window.partitionBy("symbol").orderBy("ts", "event_id"))
-    rows = tape(spark, sf_dir).withColumn("step", step)
+    rows = K.previous(tape(spark, sf_dir), ["symbol"], "s", ["ts", "event_id"], {"past": F.col("s")}).withColumn("step", F.col("s") - F.col("past"))
     return rows.groupBy("symbol").agg(F.count_if(F.col("step") < 0).alias("backwards"), *(F.count_if(F.col("step") >= m * 60).alias(f"over_{m}") for m in (1, 5, 30, 120)))
 
 
