@@ -1,11 +1,13 @@
 """Text sources, artefacts, validation and streams on hand-made rows."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as X
+from tidemark.operators import ticks as T
 from tidemark.operators import validation as V
 from tidemark.sources import artefacts as A
 from tidemark.sources import text as E
@@ -82,6 +84,7 @@ def test_artefacts_are_written_summed_and_described(spark, tmp_path):
     text = A.markdown(df.orderBy("t"), 2)
     assert "a\\|0 | 1.5 |" in text and "| 1 | a\\|1 |  |" in text and "first 2 rows" in text
     note = json.loads(A.manifest(spark, {"k": 1}, {"f": str(tmp_path / "f")}, {"t": made}, {"load": 0.1}, []))
+    assert note["commit"] == A.commit_of(str(Path(A.__file__).parent)) and A.commit_of(str(tmp_path)) is None
     assert note["tables"]["t"]["rows"] == 5 and note["inputs"]["f"]["bytes"] == 3
     assert (A.readable(10), A.readable(1536), A.readable(3 << 40)) == ("10 B", "1.5 KB", "3.0 TB")
 
@@ -148,3 +151,30 @@ def test_streams_close_bars_and_carry_quotes_over_batches(spark, tmp_path):
     assert sorted((r.t - base, r.open, r.high, r.low, r.close, r.n) for r in bars.collect()) == [(0, 5, 9, 5, 9, 2), (60, 1, 7, 1, 7, 2), (120, 3, 3, 3, 3, 1)]
     book = M.run_to_end(M.carried_quotes(read(), "k", "s", "seq", 120), str(tmp_path / "book")).orderBy("seq").collect()
     assert [(r.bid_now, r.ask_now, r.stale, r.late) for r in book] == [(10, None, False, False), (10, None, False, False), (10, 12, False, False), (11, 12, False, False), (11, 12, False, True), (11, 15, True, False)]
+
+
+def test_groups_of_one_time_are_counted_whole_over_batches(spark, tmp_path):
+    for i, rows in enumerate([[("a", 1, 5), ("a", 1, 5), ("a", 9, 1)], [("a", 9, 1), ("a", 9, 2), ("a", 500, 3)], [("a", 900, 3)]]):
+        df = spark.createDataFrame(rows, "k string, s long, p long").withColumn("ts", F.expr("timestampadd(SECOND, s, timestamp_ntz'2024-01-01 00:00:00')"))
+        df.select("k", "ts", "s", "p").coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+    read = spark.readStream.schema("k string, ts timestamp_ntz, s long, p long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    groups = M.run_to_end(M.closed_groups(read, ["k"], "ts", ["s", "p"], "60 seconds"), str(tmp_path / "out"))
+    assert sorted((r.s, r.p, r.n) for r in groups.collect()) == [(1, 5, 2), (9, 1, 2), (9, 2, 1), (500, 3, 1)]
+
+
+def test_quality_coverage_and_spreads_of_a_hand_made_tape(spark):
+    day, none = 86400, None
+    rows = [  # Thursday 1970-01-01, Saturday, and Tuesday
+        ("a", 0, 100, none, 2), ("a", 10, none, 103, 4), ("a", 10, 700, 701, 2), ("a", 2 * day, 700, none, none), ("a", 5 * day, none, none, 6), ("a", 5 * day + 5, none, 690, 4),
+    ]
+    ticks = spark.createDataFrame([(i, *r, none, none) for i, r in enumerate(rows)], "i long, k string, t long, bid long, ask long, flags int, last long, volume double")
+    book = T.quote_book(ticks, ["k"], ["i"], "t", "bid", "ask", "i", 2)
+    found = {r.metric: r.value for r in T.quality_table(book, ["k"], "t", "i", ["i"], 60, 2).collect()}
+    expected = {"records": 6, "no_bid": 3, "no_ask": 3, "no_side": 1, "bid_not_as_flagged": 1, "ask_not_as_flagged": 2, "no_flags": 1, "quotes": 5, "no_quote": 1, "crossed": 1, "no_spread": 0, "bid_jumps": 1, "bid_unchanged": 4, "with_last": 0}
+    assert {n: found[n] for n in expected} == expected and found["oldest_bid"] == 3 * day + 5 and found["stale_quotes"] == 3
+    days = T.daily_coverage(book, ["k"], "t", "i", ["i"], 1, 2)
+    assert [(r.day, r.n, r.first, r.last, r.span, r.longest_gap, r.median) for r in days.orderBy("day").collect()] == [(0, 3, 0, 10, 10, 10, 1), (2, 1, 2 * day, 2 * day, 0, 2 * day - 10, 1), (5, 2, 5 * day, 5 * day + 5, 5, 3 * day, -10)]
+    assert sorted((r.day, r.kind) for r in T.odd_days(days, ["k"]).collect()) == [(1, "missing_weekday"), (2, "weekend_ticks"), (4, "missing_weekday")]
+    tables = {(r.scope, r.part): (r.n, r.least, r.median, r.most, r["mean"]) for r in T.spread_tables(book.withColumn("spread", F.col("ask_now") - F.col("bid_now")), "t", "spread", ~T.stale("t", 60)).collect()}
+    assert tables[("all", "")] == (5, -10, 1, 3, -0.8) and tables[("month", "1970-01")] == tables[("year", "1970")] == tables[("hour", "00")] == tables[("all", "")]
+    assert tables[("fresh", "")] == (2, 1, 1, 3, 2.0)

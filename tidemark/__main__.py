@@ -152,14 +152,20 @@ def ticks(spark: SparkSession, args: argparse.Namespace) -> None:
     quality = keep(text.field_quality(rows), args.outdir, "field_quality", tables)
     fine = rows.where("epoch_ms is not null").withColumn("symbol", F.lit(args.symbol))
     keep(T.duplicates(fine, "epoch_ms", ["epoch_ms", "bid", "ask", "last", "volume", "flags"]), args.outdir, "duplicates", tables)
-    book = T.quote_book(fine, ["symbol"], ["row"], "epoch_ms", "bid", "ask", "row", text.PER_TASK).where("bid_now is not null and ask_now is not null")
+    carried = T.quote_book(fine, ["symbol"], ["row"], "epoch_ms", "bid", "ask", "row", text.PER_TASK)
+    book = carried.where("bid_now is not null and ask_now is not null")
+    counted = keep(T.quality_table(carried, ["symbol"], "epoch_ms", "row", ["row"], args.stale_side_ms, text.PER_TASK), args.outdir, "tick_quality", tables)
+    timed = book.withColumns({"spread": F.col("ask_now") - F.col("bid_now"), "s": F.floor(F.col("epoch_ms") / 1000)})
+    spreads = keep(T.spread_tables(timed, "s", "spread", ~T.stale("epoch_ms", args.stale_side_ms)), args.outdir, "spread_tables", tables)
+    days = keep(T.daily_coverage(carried, ["symbol"], "epoch_ms", "row", ["row"], 1000, text.PER_TASK), args.outdir, "daily_coverage", tables)
+    odd = keep(T.odd_days(days, ["symbol"]), args.outdir, "odd_days", tables)
     keep(book.withColumn("stale", T.stale("epoch_ms", args.stale_side_ms)).groupBy((F.col("ask_now") - F.col("bid_now")).alias("spread"), "stale").count(), args.outdir, "spreads", tables)
     keep(T.step_topk(fine.where("bid is not null"), ["symbol"], "row", ["row"], "bid", 200, text.PER_TASK), args.outdir, "jumps", tables)
     keep(T.step_topk(fine, ["symbol"], "row", ["row"], "epoch_ms", 200, text.PER_TASK), args.outdir, "gaps", tables)
     keep(text.samples(spark, args.path, form, args.sample_lines), args.outdir, "samples", tables)
     keep(T.weeks(fine.withColumn("s", F.floor(F.col("epoch_ms") / 1000)), "s"), args.outdir, "weeks", tables)
     made = verdicts(spark, args, fine, book, quality, tables)
-    write_text(spark, f"{args.outdir}/ticks.md", report("Ticks", {"quality": quality.drop("examples"), **made}))
+    write_text(spark, f"{args.outdir}/ticks.md", report("Ticks", {"quality": quality.drop("examples"), "tick quality": counted, "spreads": spreads.orderBy("scope", "part"), "odd days": odd.orderBy("day"), **made}))
     write_text(spark, f"{args.outdir}/summary.json", json.dumps({"format": vars(form), "tables": tables}, indent=2, default=str))
 
 
@@ -202,7 +208,9 @@ def explore(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.what == "row":
         shown = A.nearest_rows(table(args.table), "c_t", args.at).select(*[c for c in table(args.table).columns if args.text in c or c == "c_t"])
     else:
-        A.write_report(table(args.table).orderBy(F.xxhash64(F.lit(args.seed), "c_t"), "c_t").limit(args.rows), f"{args.outdir}/sample_{args.table}")
+        words = [w for w in args.text.split(",") if w]
+        chosen = [c for c in table(args.table).columns if not words or c in ("symbol", "c_t", "feature_row_valid") or any(w in c for w in words)]
+        A.write_report(table(args.table).select(*(F.col(f"`{c}`") for c in chosen)).orderBy(F.xxhash64(F.lit(args.seed), "c_t"), "c_t").limit(args.rows), f"{args.outdir}/sample_{args.table}")
         return
     print(A.markdown(shown, args.rows))
 

@@ -116,3 +116,68 @@ def readiness(facts: DataFrame) -> DataFrame:
     blockers = F.size(F.filter("found", lambda x: x["kind"] == "blocker"))
     last = F.struct(F.lit("recommendation").alias("kind"), F.when(blockers > 1, "REQUEST DIFFERENT DATA").otherwise("GO WITH CONDITIONS").alias("finding"), blockers.cast("double").alias("value"))
     return facts.select(found.alias("found")).select(F.inline(F.concat("found", F.array(last))))
+
+
+#: Fixed value: points between bids of neighbouring ticks from which a move counts as a jump.
+JUMP = 500
+
+
+def quality_table(book: DataFrame, keys: list[str], t: str, by: str, order: list[str], limit: int, size: int = K.TIME) -> DataFrame:
+    """metric, value, pct (of all records, null for ages): what a quote book's ticks (bid, ask, last, volume, flags) hold, how far fields
+    and flags agree, and what the carried quotes look like. An empty side is no missing value: it did not change. One pass over the ticks
+    with the carried bid before each."""
+    rows = K.previous(book, keys, by, order, {"__was": F.col("bid_now")}, size)
+    has = lambda c: F.col(c).isNotNull()
+    flagged = lambda bit: F.col("flags").bitwiseAND(bit) != 0
+    quoted, spread, moved = has("bid_now") & has("ask_now"), F.col("ask_now") - F.col("bid_now"), F.abs(F.col("bid_now") - F.col("__was"))
+    tests = {
+        "no_bid": ~has("bid"), "no_ask": ~has("ask"), "no_side": ~has("bid") & ~has("ask"), "bid_not_as_flagged": flagged(2) != has("bid"), "ask_not_as_flagged": flagged(4) != has("ask"),
+        "no_flags": ~has("flags"), "with_last": has("last"), "with_volume": has("volume"), "bid_not_positive": F.col("bid") <= 0, "ask_not_positive": F.col("ask") <= 0, "quotes": quoted, "no_quote": ~quoted,
+        "stale_quotes": quoted & stale(t, limit), "crossed": spread < 0, "no_spread": spread == 0, "bid_jumps": moved >= JUMP, "bid_unchanged": moved == 0,
+    }
+    ages = {f"oldest_{side}": F.max(F.when(quoted, F.col(t) - F.col(f"{side}_t"))) for side in ("bid", "ask")}
+    one = rows.agg(F.count("*").alias("records"), *(F.count_if(x).alias(n) for n, x in tests.items()), *(x.cast("long").alias(n) for n, x in ages.items()))
+    share = F.when(~F.col("metric").isin(*ages), F.round(F.try_divide(100 * F.col("value"), F.col("all")), 5))
+    return one.withColumn("all", F.col("records")).unpivot("all", ["records", *tests, *ages], "metric", "value").select("metric", "value", share.alias("pct"))
+
+
+def spread_tables(quotes: DataFrame, seconds: str, spread: str, fresh: Column) -> DataFrame:
+    """scope (all, fresh, hour, year, month), part, n, mean and discrete quantiles of the spread. Quotes are counted by hour, month and spread
+    first; what comes after grows with the distinct spreads only."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(seconds) / 86400).cast("int"))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    year = F.year(day).cast("string")
+    parts = {"hour": two(F.floor(F.col(seconds) / 3600) % 24), "year": year, "month": F.concat_ws("-", year, two(F.month(day)))}
+    counts = quotes.where(F.col(spread).isNotNull()).groupBy(*(c.alias(n) for n, c in parts.items()), fresh.alias("fresh"), F.col(spread).alias("spread")).agg(F.count("*").alias("n"))
+    labels = [("all", F.lit("")), ("fresh", F.when(F.col("fresh"), F.lit(""))), *((n, F.col(n)) for n in parts)]
+    counts = counts.select("spread", "n", F.inline(F.array(*(F.struct(F.lit(scope).alias("scope"), part.alias("part")) for scope, part in labels)))).where("part is not null")
+    counts = counts.groupBy("scope", "part", "spread").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("scope", "part")
+    counts = counts.withColumns({"upto": F.sum("n").over(whole.orderBy("spread")), "all": F.sum("n").over(whole)})
+    quantiles = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    disc = [F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("spread"))).alias(n) for n, q in quantiles.items()]
+    mean = F.round(F.sum(F.col("spread") * F.col("n")) / F.sum("n"), 4).alias("mean")
+    return counts.groupBy("scope", "part").agg(F.sum("n").alias("n"), F.min("spread").alias("least"), *disc, F.max("spread").alias("most"), mean)
+
+
+def daily_coverage(book: DataFrame, keys: list[str], t: str, by: str, order: list[str], unit: int, size: int = K.TIME) -> DataFrame:
+    """day (since 1970), ticks, first and last time, their distance, the longest step to a tick of the day, median and 95th percentile of
+    the carried spread. unit: units of t a second."""
+    rows = K.previous(book, keys, by, order, {"__past": F.col(t)}, size).withColumn("__spread", F.col("ask_now") - F.col("bid_now"))
+    day = F.floor(F.col(t) / (86400 * unit)).cast("long").alias("day")
+    counts = rows.groupBy(*keys, day, "__spread").agg(F.count("*").alias("n"), F.min(t).alias("first"), F.max(t).alias("last"), F.max(F.greatest(F.col(t) - F.col("__past"), F.lit(0))).alias("gap"))
+    w = Window.partitionBy(*keys, "day")
+    held = F.when(F.col("__spread").isNotNull(), F.col("n"))
+    counts = counts.withColumns({"upto": F.sum(held).over(w.orderBy("__spread")), "all": F.sum(held).over(w)})
+    disc = lambda q: F.min(F.when(F.col("__spread").isNotNull() & (F.col("upto") >= q * F.col("all")), F.col("__spread")))
+    days = counts.groupBy(*keys, "day").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("gap").alias("longest_gap"), disc(0.5).alias("median"), disc(0.95).alias("p95"))
+    return days.withColumn("span", F.col("last") - F.col("first"))
+
+
+def odd_days(days: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, day, kind: weekdays within the span that hold no tick (missing_weekday), and weekend days that hold some."""
+    ends = days.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    calendar = ends.select(*keys, F.explode(F.sequence("a", "b")).alias("day"))
+    weekend = (F.col("day") + 3) % 7 >= 5
+    lacking = calendar.where(~weekend).join(days.select(*keys, "day"), [*keys, "day"], "left_anti").withColumn("kind", F.lit("missing_weekday"))
+    return lacking.unionByName(days.where(weekend).select(*keys, "day", F.lit("weekend_ticks").alias("kind")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks as K
-from tidemark.plans.queries import _BASE, _QUOTES, _SPREAD, _TAPE, HOUR, KEY, _bars, hourly, query, spreads, tape
+from tidemark.operators import ticks as T
+from tidemark.plans.queries import _BASE, _QUOTES, _SPREAD, _TAPE, HOUR, KEY, _bars, book, hourly, query, spreads, tape
 from tidemark.sources import artefacts as A
 from tidemark.sources import text as E
 from tidemark.streaming import bars as M
@@ -183,3 +184,58 @@ def text_of_flags(spark, sf_dir):
     flags = F.when(F.col("symbol") == "view", 2).when(F.col("symbol") == "click", 4).otherwise(6)
     return tape(spark, sf_dir).groupBy(E.flag_names(flags).alias("flags")).agg(F.count("*").alias("n"))
 
+
+
+_FLAGS = "CASE WHEN p < 100 THEN NULL WHEN p > 15000 THEN 6 WHEN bid IS NOT NULL THEN 2 ELSE 4 END"
+_TICKS = f"WITH {_TAPE}, {_QUOTES}, f AS (SELECT *, coalesce(bid, ask) AS p, bid_now IS NOT NULL AND ask_now IS NOT NULL AS quoted, abs(bid_now - lag(bid_now) OVER o) AS moved, s - lag(s) OVER o AS step, ask_now - bid_now AS spread, coalesce(s - bid_t > 600, false) OR coalesce(s - ask_t > 600, false) AS stale FROM book WINDOW o AS (ORDER BY ts, event_id)), k AS (SELECT *, {_FLAGS} AS flags FROM f)"
+_METRICS = {
+    "no_bid": "bid IS NULL", "no_ask": "ask IS NULL", "no_side": "bid IS NULL AND ask IS NULL", "bid_not_as_flagged": "(flags & 2 <> 0) <> (bid IS NOT NULL)", "ask_not_as_flagged": "(flags & 4 <> 0) <> (ask IS NOT NULL)",
+    "no_flags": "flags IS NULL", "with_last": "false", "with_volume": "false", "bid_not_positive": "bid <= 0", "ask_not_positive": "ask <= 0", "quotes": "quoted", "no_quote": "NOT quoted", "stale_quotes": "quoted AND stale",
+    "crossed": "spread < 0", "no_spread": "spread = 0", "bid_jumps": "moved >= 500", "bid_unchanged": "moved = 0",
+}
+_COUNTED = [f"SELECT '{n}' AS metric, count(*) FILTER ({x}) AS value, round(100 * count(*) FILTER ({x}) / count(*), 5) AS pct FROM k" for n, x in {"records": "true", **_METRICS}.items()]
+_AGES = [f"SELECT 'oldest_{x}', max(s - {x}_t) FILTER (quoted), NULL FROM k" for x in ("bid", "ask")]
+
+
+@query(f"{_TICKS} {' UNION ALL '.join([*_COUNTED, *_AGES])}")
+def tick_quality_table(spark, sf_dir):
+    value = F.coalesce("bid", "ask")
+    flags = F.when(value < 100, F.lit(None)).when(value > 15000, 6).when(F.col("bid").isNotNull(), 2).otherwise(4)
+    rows = book(spark, sf_dir).withColumns({"flags": flags, "last": F.lit(None).cast("long"), "volume": F.lit(None).cast("double")})
+    return T.quality_table(rows, KEY, "s", "s", ["ts", "event_id"], 600)
+
+
+_SCOPES = {"all": ("''", "true"), "fresh": ("''", "NOT stale"), "hour": ("strftime(ts, '%H')", "true"), "year": ("strftime(ts, '%Y')", "true"), "month": ("strftime(ts, '%Y-%m')", "true")}
+_DISC = ", ".join(f"quantile_disc(spread, {q}) AS {n}" for n, q in (("p01", 0.01), ("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99)))
+
+
+@query(f"{_TICKS} {' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS scope, {part} AS part, count(*) AS n, min(spread) AS least, {_DISC}, max(spread) AS most, round(avg(spread), 4) AS mean FROM f WHERE spread IS NOT NULL AND {test} GROUP BY 2' for n, (part, test) in _SCOPES.items())}")
+def spreads_by_calendar(spark, sf_dir):
+    rows = book(spark, sf_dir).withColumn("spread", F.col("ask_now") - F.col("bid_now"))
+    return T.spread_tables(rows, "s", "spread", ~T.stale("s", 600))
+
+
+_DAYS = "d AS (SELECT s // 86400 AS day, count(*) AS n, min(s) AS first, max(s) AS last, max(greatest(coalesce(step, 0), 0)) AS longest_gap, quantile_disc(spread, 0.5) AS median, quantile_disc(spread, 0.95) AS p95, max(s) - min(s) AS span, count(step) AS steps FROM f GROUP BY 1)"
+
+
+def covered_days(spark, sf_dir):
+    return T.daily_coverage(book(spark, sf_dir), KEY, "s", "s", ["ts", "event_id"], 1)
+
+
+@query(f"{_TICKS}, {_DAYS} SELECT day, n, first, last, CASE WHEN steps > 0 THEN longest_gap END AS longest_gap, median, p95, span FROM d")
+def book_by_day(spark, sf_dir):
+    return covered_days(spark, sf_dir).drop("symbol")
+
+
+@query(f"{_TICKS}, {_DAYS}, c AS (SELECT unnest(range(min(day), max(day) + 1)) AS day FROM d) SELECT day, 'missing_weekday' AS kind FROM c WHERE (day + 3) % 7 < 5 AND day NOT IN (SELECT day FROM d) UNION ALL SELECT day, 'weekend_ticks' FROM d WHERE (day + 3) % 7 >= 5")
+def odd_days(spark, sf_dir):
+    return T.odd_days(covered_days(spark, sf_dir), KEY).drop("symbol")
+
+
+@query(f"WITH {_TAPE}, g AS (SELECT symbol, ts, p, count(*) AS n FROM tape WHERE epoch(ts) <= (SELECT max(epoch(ts)) - 600 FROM tape) GROUP BY ALL), u AS (SELECT symbol, ts, sum(n) AS ticks, sum(n - 1) AS again FROM g GROUP BY ALL) SELECT symbol, CAST(sum(ticks) AS BIGINT) AS ticks, CAST(sum(ticks - 1) AS BIGINT) AS same_time, CAST(sum(again) AS BIGINT) AS same_row FROM u GROUP BY symbol")
+def streaming_duplicates(spark, sf_dir):
+    """Ticks of one time, and equal ticks, beyond the first, in a stream: of times the watermark (10 minutes behind) has passed."""
+    ticks = stream_of(spark, sf_dir, "symbol|ts|event_id|p")
+    groups = M.run_to_end(M.closed_groups(ticks, KEY, "ts", ["p"], "10 minutes"), A.scratch(spark, "stream-groups"))
+    times = groups.groupBy("symbol", "ts").agg(F.sum("n").alias("ticks"), F.sum(F.col("n") - 1).alias("again"))
+    return times.groupBy("symbol").agg(F.sum("ticks").alias("ticks"), F.sum(F.col("ticks") - 1).alias("same_time"), F.sum("again").alias("same_row"))

@@ -7,9 +7,11 @@ import importlib.metadata
 import json
 import platform
 import re
+import subprocess
 import tempfile
 import uuid
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,11 +91,20 @@ def markdown(df: DataFrame, most: int = 40) -> str:
     return "\n".join([*lines, *([f"\nOnly the first {most} rows are shown."] if len(rows) > most else [])]) + "\n"
 
 
+def commit_of(folder: str) -> str | None:
+    """The commit a folder's working tree stands at; None where it is none, or git is missing."""
+    try:
+        found = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return found.stdout.strip() or None if found.returncode == 0 else None
+
+
 def manifest(spark: SparkSession, config: Mapping, inputs: Mapping[str, str], tables: Mapping[str, Mapping[str, int]], seconds: Mapping[str, float], warnings: list[str]) -> str:
-    """A run's JSON: configuration, checksums of the input files, versions, sizes of its tables, timings and warnings."""
+    """A run's JSON: configuration, checksums of the input files, versions, the code's commit, sizes of its tables, timings and warnings."""
     versions = {p: importlib.metadata.version(p) for p in ("pyspark", "pyarrow", "pandas", "numpy")}
     found = {name: {"path": path, "sha256": checksum(spark, path), "bytes": size_of(spark, path)} for name, path in inputs.items()}
-    out = {"config": dict(config), "inputs": found, "python": platform.python_version(), "platform": platform.platform(), "versions": versions, "tables": {k: dict(v) for k, v in tables.items()}, "seconds": dict(seconds), "warnings": list(warnings)}
+    out = {"config": dict(config), "inputs": found, "python": platform.python_version(), "platform": platform.platform(), "versions": versions, "commit": commit_of(str(Path(__file__).resolve().parent)), "tables": {k: dict(v) for k, v in tables.items()}, "seconds": dict(seconds), "warnings": list(warnings)}
     return json.dumps(out, indent=2, sort_keys=True, default=str)
 
 

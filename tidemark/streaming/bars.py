@@ -26,6 +26,13 @@ def closed_bars(ticks: DataFrame, keys: list[str], ts: str, order: list[str], pr
     return bars.select(*keys, F.unix_seconds("__w.start").alias("t"), "open", "high", "low", "close", "n")
 
 
+def closed_groups(ticks: DataFrame, keys: list[str], ts: str, columns: list[str], delay: str) -> DataFrame:
+    """keys, ts, columns, n: how often a tick occurs that is equal in all of them, in append mode: a group comes out once the watermark has
+    passed its time, so that a time whose ticks reach over batches is counted whole. State is a number a group, however many its ticks."""
+    counted = ticks.withColumn("__at", instant(ts)).withWatermark("__at", delay).groupBy("__at", *keys, ts, *columns).agg(F.count("*").alias("n"))
+    return counted.drop("__at")
+
+
 def carried_quotes(ticks: DataFrame, key: str, t: str, seq: str, limit: int) -> DataFrame:
     """key, t, seq, bid_now, ask_now, stale, late of each tick, both sides carried forward over batches; state is five numbers per key.
 
