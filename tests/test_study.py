@@ -4,6 +4,8 @@ import json
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,24 @@ def test_dictionary_refuses_repeats_and_outcomes():
             made.register(Feature(name, "5m", "f", "u", "d"))
 
 
+def check_panel(panel, base, cfg):
+    """The base timeframe's simple averages, slopes and places, against pandas."""
+    averages = [("ema", p) for p in cfg.ema_periods] + [("sma", p) for p in cfg.sma_periods]
+    got = panel.where(F.col("timeframe") == cfg.base_timeframe).toPandas().sort_values("c_t")
+    bars_ = base.orderBy("c_t").toPandas().reset_index(drop=True)
+    close = bars_[["open", "high", "low", "close"]].astype(float).mean(axis=1)  # averages are of smoothed bars unless a study says otherwise
+    assert len(got) == len(close) * len(averages) and set(panel.select("timeframe").distinct().toPandas()["timeframe"]) == set(cfg.active_timeframes)
+    stack = pd.DataFrame({p: close.rolling(p).mean() for p in cfg.sma_periods})
+    back = cfg.slope_lookbacks[0]
+    ranks = stack.fillna(-np.inf).rank(axis=1, method="first").where(stack.notna()) - 1
+    for p in cfg.sma_periods:
+        one = got[(got.kind == "sma") & (got.period == p)].reset_index(drop=True)
+        np.testing.assert_allclose(one["value"].astype(float), stack[p], equal_nan=True)
+        np.testing.assert_allclose(one[f"slope_pips_{back}"].astype(float), stack[p].diff(back) / back / cfg.points_per_pip, equal_nan=True, atol=1e-9)
+        np.testing.assert_allclose(one["rank_in_stack"].astype(float), ranks[p], equal_nan=True)
+        np.testing.assert_allclose(one["price_distance"].astype(float), one["price"].astype(float) - stack[p], equal_nan=True, atol=1e-6)
+
+
 def test_command_line_end_to_end(spark, tmp_path, capsys):
     import yaml
 
@@ -65,7 +85,7 @@ def test_command_line_end_to_end(spark, tmp_path, capsys):
     out, given = str(tmp_path / "out"), ["--config", str(tmp_path / "study.yaml"), "--outdir", str(tmp_path / "out")]
     with pytest.raises(SystemExit, match="run `python -m tidemark features`"):
         main(["events", *given], spark)
-    main(["features", *given, "--causality-rows", "200"], spark)
+    main(["features", *given, "--causality-rows", "200", "--panel"], spark)
     for step in ("events", "compare", "checkpoint"):
         main([step, *given], spark)
     cfg = config.load(given[1])
@@ -75,6 +95,10 @@ def test_command_line_end_to_end(spark, tmp_path, capsys):
     # a matrix built without the later bars holds the same rows
     early = study.feature_matrix(base.where(F.col("c_t") <= base.agg(F.max("c_t")).first()[0] - 100 * 300), cfg)
     assert early.count() == 300 and early.exceptAll(made).count() == 0
+    check_panel(spark.read.parquet(f"{out}/panel"), base, cfg)
+    rates = spark.read.parquet(f"{out}/outcome_rates")
+    assert rates.where("event_implied and event_rate < 1").count() == rates.where("control_implied and control_rate > 0").count() == 0 and rates.where("event_implied").count() > 0
+    assert spark.read.parquet(f"{out}/outcome_magnitudes").select("control_type").distinct().count() == 2
     outcomes = spark.read.parquet(f"{out}/outcomes")
     assert set(outcomes.columns) == {"symbol", "c_t", *(n for h in (15, 60) for n in study.outcome_names(h, (2, 5)))}
     events, controls = spark.read.parquet(f"{out}/events"), spark.read.parquet(f"{out}/controls")

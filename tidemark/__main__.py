@@ -6,6 +6,7 @@ import argparse
 import json
 import logging
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,9 @@ def features(spark: SparkSession, args: argparse.Namespace) -> None:
     documented.check(made, [*study.KEYS, "c_t"])
     keep(documented.table(spark), args.outdir, "dictionary", tables)
     keep(study.outcomes(base, cfg), args.outdir, "outcomes", tables)
+    if args.panel:
+        long = reduce(DataFrame.unionByName, (study.panel(base, cfg, tf) for tf in cfg.active_timeframes))
+        tables["panel"] = A.write_table(long, f"{args.outdir}/panel", ["timeframe"])
     differing = A.same_keys({n: spark.read.parquet(f"{args.outdir}/{n}") for n in ("features", "outcomes", "alignment")}, "c_t").where("lacking > 0 or beyond > 0")
     if not differing.isEmpty():
         raise SystemExit("features, outcomes and alignment are not of the same times")
@@ -126,6 +130,8 @@ def compare(spark: SparkSession, args: argparse.Namespace) -> None:
     made = {"comparisons": keep(study.comparisons(rows, found, matched, cfg.step3a.distribution_quantiles), args.outdir, "comparisons", tables)}
     for by in ("session", "horizon", "threshold", "compression_state"):
         made[f"by_{by}"] = keep(study.breakdown(found, by), args.outdir, f"by_{by}", tables)
+    for name, table in zip(("outcome_rates", "outcome_magnitudes"), study.outcome_comparisons(artefact(spark, args.outdir, "outcomes", "features"), found, matched), strict=True):
+        keep(table, args.outdir, name, tables)
     write_text(spark, f"{args.outdir}/comparisons.md", report("Episodes and controls", made))
     write_manifest(spark, args, cfg, tables, {"compare": time.time() - began}, [])
 
@@ -226,6 +232,7 @@ def parser() -> argparse.ArgumentParser:
         if step in (features, events, compare, checkpoint):
             one.add_argument("--config", required=True)
     steps.choices["features"].add_argument("--causality-rows", type=int, default=0)
+    steps.choices["features"].add_argument("--panel", action="store_true", help="the long table of every bar and average, by timeframe")
     tick, look = steps.choices["ticks"], steps.choices["explore"]
     tick.add_argument("path")
     tick.add_argument("--symbol", default="EURUSD")

@@ -278,3 +278,50 @@ def breakdown(events: DataFrame, by: str, measures: list[str]) -> DataFrame:
     """Numbers and means by one column, as text so that breakdowns can stand under one another."""
     means = [F.round(F.avg(F.col(c).cast("double")), 6).alias(f"mean_{c}") for c in measures]
     return events.groupBy(F.col(by).cast("string").alias("value")).agg(F.count("*").alias("n"), *means).select(F.lit(by).alias("by"), "*")
+
+
+#: Fixed value: rows of either population from which a comparison can be read.
+LEAST_ROWS = 30
+
+
+def _sides(events: DataFrame, controls: DataFrame, keys: list[str], cells: list[Column]) -> DataFrame:
+    """keys, outcome and the cells' other fields as structs e and c: one aggregate for all outcomes of each population."""
+    one = lambda df, side: df.groupBy(*keys).agg(F.array(*cells).alias("cells")).select(*keys, F.explode("cells").alias(side)).withColumn("outcome", F.col(f"{side}.outcome"))
+    return one(events, "e").join(one(controls, "c"), [*keys, "outcome"], "left")
+
+
+def compared_rates(events: DataFrame, controls: DataFrame, keys: list[str], outcomes: list[str], event: tuple[str, str, str] | None = None, either: bool = False) -> DataFrame:
+    """keys, outcome: numbers and rates of both populations, difference in points of a hundred, lift in per cent, whether the comparison
+    says nothing because an event's definition makes the outcome true, or a control's makes it false, and whether it can be read.
+    outcomes: 0/1 or boolean columns; event: the keys that hold the event's direction, threshold and horizon (none: nothing is implied).
+    Controls are rows without that move, or without it in either direction."""
+    from tidemark.operators.validation import label_of
+
+    def cell(c: str) -> Column:
+        direction, threshold, horizon = label_of(c) or (None, None, None)
+        parts = {"outcome": F.lit(c), "n": F.count(c), "rate": F.avg(F.col(c).cast("int")), "direction": F.lit(direction).cast("string"), "threshold": F.lit(threshold).cast("double"), "horizon": F.lit(horizon).cast("int")}
+        return F.struct(*(x.alias(n) for n, x in parts.items()))
+
+    out = _sides(events, controls, keys, [cell(c) for c in outcomes])
+    rate, other = F.col("e.rate"), F.col("c.rate")
+    least = F.least("e.n", F.coalesce("c.n", F.lit(0).cast("long")))
+    by_event = by_control = F.lit(False)
+    if event:
+        direction, threshold, horizon = (F.col(k) for k in event)
+        same = F.col("e.direction") == direction
+        by_event = F.coalesce(same & (F.col("e.threshold") <= threshold) & (F.col("e.horizon") >= horizon), F.lit(False))
+        by_control = F.coalesce((F.col("e.direction").isNotNull() if either else same) & (F.col("e.threshold") >= threshold) & (F.col("e.horizon") <= horizon), F.lit(False))
+    made = {
+        "event_n": F.col("e.n"), "control_n": F.coalesce("c.n", F.lit(0).cast("long")), "event_rate": F.round(rate, 5), "control_rate": F.round(other, 5), "difference_pp": F.round(100 * (rate - other), 3),
+        "lift_pct": F.round(F.when(other > 0, 100 * (rate / other - 1)), 2), "event_implied": by_event, "control_implied": by_control, "least_n": least, "interpretable": (least >= LEAST_ROWS) & ~by_event & ~by_control,
+    }
+    return out.select(*keys, "outcome", *(x.alias(n) for n, x in made.items()))
+
+
+def compared_magnitudes(events: DataFrame, controls: DataFrame, keys: list[str], outcomes: list[str]) -> DataFrame:
+    """keys, outcome: numbers, means and medians of both populations and their differences, and whether the comparison can be read."""
+    cells = [F.struct(F.lit(c).alias("outcome"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median")) for c in outcomes]
+    out, least = _sides(events, controls, keys, cells), F.least("e.n", F.coalesce("c.n", F.lit(0).cast("long")))
+    both = [F.round(F.col(f"{side}.{x}"), 3).alias(f"{name}_{x}") for side, name in (("e", "event"), ("c", "control")) for x in ("mean", "median")]
+    gaps = [F.round(F.col(f"e.{x}") - F.col(f"c.{x}"), 3).alias(f"{x}_difference") for x in ("mean", "median")]
+    return out.select(*keys, "outcome", F.col("e.n").alias("event_n"), F.coalesce("c.n", F.lit(0).cast("long")).alias("control_n"), *both, *gaps, least.alias("least_n"), (least >= LEAST_ROWS).alias("interpretable"))

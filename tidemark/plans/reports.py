@@ -14,7 +14,7 @@ from tidemark.operators import studies as S
 from tidemark.operators import ticks as T
 from tidemark.operators import validation as V
 from tidemark.plans import study
-from tidemark.plans.queries import _BASE, _CONTEXT, _QUOTES, _RANK, _SESSION, _TAPE, _W, _WIDE, AHEAD, HOUR, KEY, SQL, _bars, _full, _greedy, book, context, hourly, matched_controls, query, ranked_ranges, tape
+from tidemark.plans.queries import _BASE, _CONTEXT, _QUOTES, _RANK, _SESSION, _TAPE, _W, _WIDE, AHEAD, HOUR, KEY, SQL, _ahead, _bars, _full, _greedy, book, context, hourly, matched_controls, query, ranked_ranges, tape
 
 # --- families of the feature matrix ---------------------------------------------------------------------------------------
 
@@ -379,3 +379,40 @@ def readiness_verdict(spark, sf_dir):
 def valid_rows(spark, sf_dir):
     """Missing data: how many rows have every average."""
     return V.valid_rows(features(spark, sf_dir, {"ema_20_price_dist_pips": 4}), F.col("ema_20_price_dist_pips").isNotNull())
+
+
+_LABELS = ("expansion_up_30p_360m", "expansion_up_60p_360m", "expansion_down_30p_360m")
+_OUTCOMES = f"y AS (SELECT symbol, t, {_WIDE} AS wide, max(high) OVER f - close AS up, min(low) OVER f - close AS down FROM bars WINDOW f AS {_ahead(AHEAD)}), z AS (SELECT symbol, wide, up, down, up >= 3000 AS {_LABELS[0]}, up >= 6000 AS {_LABELS[1]}, down <= -3000 AS {_LABELS[2]} FROM y)"
+
+
+def populations(spark, sf_dir):
+    """Wide bars and the others, with labels of moves of 30 and 60 (hundreds of points) within six hours."""
+    rows = R.forward_extremes(hourly(spark, sf_dir), KEY, "t", AHEAD)
+    rows = rows.withColumns({"up": F.col("f_high") - F.col("close"), "down": F.col("f_low") - F.col("close"), "direction": F.lit("up"), "threshold": F.lit(45.0), "horizon": F.lit(360)})
+    rows = rows.withColumns(dict(zip(_LABELS, (F.col("up") >= 3000, F.col("up") >= 6000, F.col("down") <= -3000), strict=True)))
+    return rows.where(F.expr(_WIDE)), rows.where(~F.expr(_WIDE))
+
+
+def _rates(label: str, event: bool, control: bool) -> str:
+    n, m, a, b = (f"{f}({x}) FILTER ({side})" for f, x in (("count", label), ("avg", f"{label}::INT")) for side in ("wide", "NOT wide"))
+    return f"SELECT symbol, '{label}' AS outcome, {n} AS event_n, {m} AS control_n, round({a}, 5) AS event_rate, round({b}, 5) AS control_rate, round(100 * ({a} - {b}), 3) AS difference_pp, round(100 * ({a} / nullif({b}, 0) - 1), 2) AS lift_pct, {event} AS event_implied, {control} AS control_implied, least({n}, {m}) AS least_n, least({n}, {m}) >= 30 AND NOT {event} AND NOT {control} AS interpretable FROM z GROUP BY symbol HAVING count(*) FILTER (wide) > 0"
+
+
+@query(f"{_BASE}, {_OUTCOMES} {' UNION ALL '.join(_rates(*x) for x in zip(_LABELS, (True, False, False), (False, True, False), strict=True))}")
+def compared_rates(spark, sf_dir):
+    """An event of 45 up within six hours implies a move of 30 up; a bar without one has none of 60."""
+    events, others = populations(spark, sf_dir)
+    return S.compared_rates(events, others, [*KEY, "direction", "threshold", "horizon"], list(_LABELS), ("direction", "threshold", "horizon")).drop("direction", "threshold", "horizon")
+
+
+def _magnitudes(c: str) -> str:
+    sides = {"event": "wide", "control": "NOT wide"}
+    shown = ", ".join(f"round({f}({c}) FILTER ({test}), 3) AS {name}_{w}" for name, test in sides.items() for w, f in (("mean", "avg"), ("median", "median")))
+    gaps = ", ".join(f"round({f}({c}) FILTER (wide) - {f}({c}) FILTER (NOT wide), 3) AS {w}_difference" for w, f in (("mean", "avg"), ("median", "median")))
+    least = f"least(count({c}) FILTER (wide), count({c}) FILTER (NOT wide))"
+    return f"SELECT symbol, '{c}' AS outcome, count({c}) FILTER (wide) AS event_n, count({c}) FILTER (NOT wide) AS control_n, {shown}, {gaps}, {least} AS least_n, {least} >= 30 AS interpretable FROM z GROUP BY symbol HAVING count(*) FILTER (wide) > 0"
+
+
+@query(f"{_BASE}, {_OUTCOMES} {_magnitudes('up')} UNION ALL {_magnitudes('down')}")
+def compared_magnitudes(spark, sf_dir):
+    return S.compared_magnitudes(*populations(spark, sf_dir), KEY, ["up", "down"])

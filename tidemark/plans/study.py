@@ -5,14 +5,16 @@ Every step is one lazy DataFrame over the step before's table. Times are seconds
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import MINUTES, StudyConfig
-from tidemark.functions.scalars import compression_state, floored, points, session_of
+from tidemark.functions.scalars import compression_state, floored, points, safe_divide, session_of
 from tidemark.operators import bars as B
+from tidemark.operators import blocks as K
 from tidemark.operators import features as X
 from tidemark.operators import matrix as M
 from tidemark.operators import rolling as R
@@ -265,6 +267,44 @@ def comparisons(rows: DataFrame, events: DataFrame, matched: DataFrame, quantile
     return out.join(rows.where(F.col("reason").isNull()).groupBy(*STRATUM).agg(F.avg(F.col("hit").cast("int")).alias("base_rate")), STRATUM)
 
 
+def outcome_comparisons(table: DataFrame, events: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per stratum, kind of control and outcome: rates of all expansions, with those that the definitions imply marked, and magnitudes."""
+    kinds = matched.select("control_type").distinct()  # a few words
+    at = [*STRATUM, "control_type", F.col("start").alias("c_t")]
+    ours = events.crossJoin(F.broadcast(kinds)).select(*at).join(table, [*KEYS, "c_t"])
+    theirs = matched.select(*STRATUM, "control_type", F.col("control_t").alias("c_t")).join(table, [*KEYS, "c_t"])
+    labels = [c for c in table.columns if V.label_of(c)]
+    sizes = [c for c in table.columns if c.startswith(("fwd_pips_", "long_m", "short_m", "max_abs_move_pips_", "future_range_pips_"))]
+    by = [*STRATUM, "control_type"]
+    return S.compared_rates(ours, theirs, by, labels, ("direction", "threshold", "horizon")), S.compared_magnitudes(ours, theirs, by, sizes)
+
+
+def panel(base: DataFrame, cfg: StudyConfig, timeframe: str) -> DataFrame:
+    """symbol, c_t, timeframe, kind, period, value, price, atr, price_distance, price_distance_pips, normalized_price_distance,
+    rank_in_stack (place among its kind's values, missing ones lowest, equal ones by period), slope_pips_<n>, slope_atr_<n>: a row for each
+    bar and average."""
+    rows = M.of_timeframe(bars_of(base, cfg, timeframe).select(*KEYS, "t", "c_t", *M.BARS), cfg, timeframe, KEYS).select(*KEYS, "c_t", "n", "x")
+    specs, pip = [], cfg.points_per_pip
+    for kind, periods in (("ema", cfg.ema_periods), ("sma", cfg.sma_periods)):
+        first = len(specs)
+        specs += [{"kind": kind, "period": p, "at": first + i, "first": first, "n": len(periods)} for i, p in enumerate(periods)]
+    table = F.from_json(F.lit(json.dumps(specs)), "array<struct<kind: string, period: int, at: int, first: int, n: int>>")
+    there = lambda c: F.when(~F.isnan(c), c)
+    rows = K.trailing(rows, KEYS, "n", max(cfg.slope_lookbacks), lambda df, w: df.withColumns({f"__x{b}": F.lag("x", b).over(w) for b in cfg.slope_lookbacks}))
+    rows = rows.withColumns({"price": there(F.element_at("x", -1)), "atr": there(F.element_at("x", -2))})
+
+    def state(p: Column) -> Column:
+        own = F.get("x", p["at"])
+        lower = F.filter(F.slice("x", p["first"] + 1, p["n"]), lambda v, i: v.isNull() | F.isnan(v) | (v < own) | ((v == own) & (i < p["at"] - p["first"])))
+        slopes = [((there(own) - there(F.get(f"__x{b}", p["at"]))) / b / pip).alias(f"slope_pips_{b}") for b in cfg.slope_lookbacks]
+        return F.struct(p["kind"].alias("kind"), p["period"].alias("period"), there(own).alias("value"), F.when(there(own).isNotNull(), F.size(lower)).alias("rank_in_stack"), *slopes)
+
+    rows = rows.withColumn("s", F.explode(F.transform(table, state))).select(*KEYS, "c_t", F.lit(timeframe).alias("timeframe"), "price", "atr", "s.*")
+    gap = F.col("price") - F.col("value")
+    rows = rows.withColumns({"price_distance": gap, "price_distance_pips": gap / pip, "normalized_price_distance": safe_divide(gap, F.col("atr"))})
+    return rows.withColumns({f"slope_atr_{b}": safe_divide(F.col(f"slope_pips_{b}") * pip, F.col("atr")) for b in cfg.slope_lookbacks})
+
+
 def breakdown(events: DataFrame, by: str) -> DataFrame:
     """Episodes and their moves by one column."""
     return S.breakdown(events, by, ["fwd_pips", "max_up", "max_down", "opposite"])
