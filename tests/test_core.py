@@ -70,3 +70,25 @@ def test_query_matches_its_sql(spark, name):
     columns = sorted(ours.columns)
     rows = lambda df: sorted(tuple("" if pd.isna(x) else str(round(float(x), 4)) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x) for x in r) for r in df[columns].itertuples(index=False))
     assert rows(ours) == rows(theirs)
+
+
+def made_events(con, path, wide, until=48, symbols=("click", "view")):
+    """Two ticks in every hour from a Monday on, far apart where `wide` (SQL on the hour h) holds."""
+    con.execute(f"""copy (select row_number() over () as event_id, timestamp '2024-01-01 00:10:00' + to_hours(CAST(h AS INT)) + to_minutes(CAST(i AS INT)) as ts, 1 as user_id, s as event_type,
+      CAST(10 + i * (case when {wide} then 100 else 1 end) AS DOUBLE) as value, '' as props from range({until}) r(h), range(2) q(i), unnest({list(symbols)}) u(s)) to '{path}/events.parquet'""")
+
+
+def both_results(spark, path, name):
+    """Rows of a query and of its SQL as text, in which NaN and null differ."""
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{path}/events.parquet'")
+    ours, theirs = entry.queries()[name](spark, str(path)), con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in theirs.description]
+    return sorted(str([r[c] for c in columns]) for r in ours.collect()), sorted(str(list(r)) for r in theirs.fetchall())
+
+
+@pytest.mark.parametrize("wide", ["true", "false", "h % 3 = 0"])
+def test_category_balance_with_one_kind_of_bars_only(spark, tmp_path, wide):
+    made_events(duckdb.connect(), tmp_path, wide)
+    ours, theirs = both_results(spark, tmp_path, "category_balance")
+    assert len(ours) == 5 and ours == theirs

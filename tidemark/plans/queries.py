@@ -399,7 +399,7 @@ def stratified_sample(spark, sf_dir):
 def category_balance(spark, sf_dir):
     counts = context(hourly(spark, sf_dir)).groupBy("session").agg(F.count_if(F.expr(_WIDE)).alias("a"), F.count_if(~F.expr(_WIDE)).alias("b"))
     everything = Window.partitionBy()
-    a, b = (F.col(c) / F.sum(c).over(everything) for c in ("a", "b"))
+    a, b = (F.coalesce(F.try_divide(F.col(c), F.sum(c).over(everything)), F.lit(float("nan"))) for c in ("a", "b"))  # SQL's 0 / 0
     return counts.select("session", F.round(a, 6).alias("events"), F.round(b, 6).alias("others"), F.round(F.abs(a - b), 6).alias("gap"))
 
 
