@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from tidemark.operators import bars as B
 from tidemark.operators import rolling as R
 from tidemark.operators import studies as S
+from tidemark.operators import validation as V
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +109,15 @@ def test_balance_names_kinds_without_controls_and_meets_nothing_by_them(spark):
     assert values(S.balance(events, controls, ["s", "v"], "kind", ["a", "b"]).na.fill(-1.0), *columns) == [("a", "s", 2, 2, -1.0, 0.0, True), ("a", "v", 2, 2, 0.0, 0.0, True), ("b", "s", 2, 0, -1.0, -1.0, False), ("b", "v", 2, 0, -1.0, -1.0, False)]
     assert {r.kind for r in S.balance(events, controls, ["s"], "kind").collect()} == {"a"} and {r.kind for r in S.balance(events, controls, ["s"], "kind", ["b"]).collect()} == {"b"}
     assert values(S.balance(events.where("false"), controls, ["s"], "kind").na.fill(-1.0), *columns) == [("a", "s", 0, 2, -1.0, -1.0, False)]
+
+
+@pytest.mark.parametrize(("symbols", "until"), [(("click", "view"), 48), (("click", "view"), 1), (("click",), 48)])
+def test_bar_audit_without_missing_slots_and_without_bars(spark, tmp_path, symbols, until):
+    made_events(duckdb.connect(), tmp_path, "h % 3 = 0", until, symbols)
+    ours, theirs = both_results(spark, tmp_path, "bar_audit")
+    assert len(ours) == 30 and str(["worst_days", None]) in ours and ours == theirs
+
+
+def test_audit_writes_large_medians_as_plain_numbers(spark):
+    bars = spark.createDataFrame([("a", 3600 * i, 1, 1, 1, 1, n) for i, n in enumerate((20_000_000, 20_000_001))], "symbol string, t long, open int, high int, low int, close int, n long")
+    assert dict(values(V.audit(bars, ["symbol"], "t", 3600).where("check = 'median_ticks'"), "check", "value")) == {"median_ticks": "20000000.5"}

@@ -102,7 +102,7 @@ def audit(bars: DataFrame, keys: list[str], t: str, seconds: int, closed: str |
         "rows": F.count("*"), "first": F.min(t), "last": F.max(t), "duplicate_times": F.count_if(F.col("__gap") == 0), "out_of_order": F.count_if(F.col("__gap") < 0), "off_grid": F.count_if(F.col(t) % seconds != 0),
         **{f"null_{c}": F.count_if(F.col(c).isNull()) for c in prices}, **{f"non_positive_{c}": F.count_if(F.col(c) <= 0) for c in prices},
         "high_below_low": F.count_if(F.col("high") < F.col("low")), "open_outside": F.count_if((F.col("open") > F.col("high")) | (F.col("open") < F.col("low"))), "close_outside": F.count_if((F.col("close") > F.col("high")) | (F.col("close") < F.col("low"))),
-        "flat_bars": F.count_if(F.col("high") == F.col("low")), "least_ticks": F.min("n"), "median_ticks": F.median("n"), "most_ticks": F.max("n"), "weekend_bars": F.count_if(weekend(day)), "gaps": F.count_if(over),
+        "flat_bars": F.count_if(F.col("high") == F.col("low")), "least_ticks": F.min("n"), "median_ticks": F.median("n").cast("decimal(38,1)"), "most_ticks": F.max("n"), "weekend_bars": F.count_if(weekend(day)), "gaps": F.count_if(over),
         "intraweek_gaps": F.count_if(over & (F.floor((day + 3) / 7) == F.floor((F.floor(F.col("__past") / 86400) + 3) / 7))), "session_gaps": F.count_if(F.col("__gap") > 7200), "largest_gap": F.max("__gap"),
     }
     after = F.when(F.col("__gap") > 7200, weekday(day) * 24 + F.floor(F.col(t) / 3600) % 24)
@@ -110,7 +110,7 @@ def audit(bars: DataFrame, keys: list[str], t: str, seconds: int, closed: str |
     missing = weekday_gaps(bars, keys, t, seconds)
     late = missing.agg(F.coalesce(F.sum("missing"), F.lit(0)).cast("string").alias("missing_weekday_slots"), F.count("*").cast("string").alias("days_with_missing_slots"))
     worst = missing.groupBy("day").agg(F.sum("missing").alias("missing")).orderBy(F.desc("missing"), "day").limit(6)
-    text = worst.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("missing")).alias("m"), "day"))), lambda x: F.concat_ws(":", x["day"], -x["m"])), " ").alias("worst_days"))
+    text = worst.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("missing")).alias("m"), "day"))), lambda x: F.concat_ws(":", x["day"], -x["m"])), " ").alias("worst_days")).select(F.nullif("worst_days", F.lit("")).alias("worst_days"))
     names = [*counted, "modal_session_start", "missing_weekday_slots", "days_with_missing_slots", "worst_days"]
     return one.crossJoin(late).crossJoin(text).unpivot([], names, "check", "value")  # one row each
 
